@@ -22,13 +22,14 @@ import math
 import re
 import zlib
 from collections import Counter
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import Cache, doc_columns, map_text, text_slices, texts
+from holdfast.llm.common import Cache, doc_columns, text_slices, texts
 
 TASKS = ("junk", "toxic")
 #: Width of the hashed weights.
@@ -39,52 +40,67 @@ FIT_ROWS = 4000
 #: Common English insults, a seed for the toxic labellers.
 INSULTS = frozenset("clown disgusting dumb fool idiot imbecile jerk loser moron pathetic scum stupid trash vermin worthless".split())
 
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-def _share_vote(x: float, good: float, bad: float) -> int:
-    """1 up to ``good``, -1 from ``bad`` on, else 0."""
-    return 1 if x <= good else -1 if x >= bad else 0
-
-
-def junk_votes(text: str, words: list[str]) -> tuple[int, ...]:
-    """Six labellers: capitals, symbols, repeated words, repeated lines, words per sentence end, word length."""
-    n = len(words)
-    if n == 0:
-        return (0, -1, 0, 0, 0, -1)
-    letters = sum(map(len, words))
-    upper = sum(w.isupper() for w in words if len(w) > 1) / max(1, sum(len(w) > 1 for w in words))
-    dense = len(text) - text.count(" ") - text.count("\n")
-    symbols = 1 - letters / max(1, dense)
-    distinct = len(set(words)) / n
-    expected = min(1.0, 3.0 / math.sqrt(n) + 0.12)
-    lines = [x for x in text.split("\n") if x.strip()]
-    repeated = 1 - len(set(lines)) / max(1, len(lines))
-    ends = text.count(".") + text.count("!") + text.count("?")
-    return (
-        _share_vote(upper, 0.3, 0.7),
-        _share_vote(symbols, 0.08, 0.18),
-        0 if n < 20 else 1 if distinct >= expected else -1 if distinct < 0.5 * expected else 0,
-        0 if len(lines) < 4 else _share_vote(repeated, 0.1, 0.5),
-        0 if n < 20 else 1 if 2.5 <= n / max(1, ends) <= 60 else -1,
-        1 if 2.0 <= letters / n <= 14 else -1,
-    )
-
-
-def toxic_votes(words: list[str], learned: dict[str, float]) -> tuple[int, ...]:
-    """Four labellers: insults by list, insults learned from labels, their weight of evidence, their share."""
-    lower = [w.lower() for w in words]
-    seeds = sum(map(INSULTS.__contains__, lower))
-    hits = [w for w in lower if w in learned]
-    evidence = sum(learned[w] for w in set(hits))
-    share = (len(hits) or seeds) / max(1, len(lower))
-    none = 1 if learned else 0
-    return (
-        -1 if seeds else 1,
-        -1 if hits else none,
-        -1 if evidence >= 4 else none if evidence == 0 else 0,
-        -1 if share >= 0.004 else 1 if share == 0 else 0,
-    )
+_ODD = re.compile(r"[^\w\s.,;:!?'\"()\[\]…«»¿¡-]")
+_ENDS = ".,;:!?'\"()"
+
+
+def _traits(token: str) -> int:
+    """Counts for one token, packed: capitals, odd characters, no letter or digit."""
+    upper = len(token) > 1 and token.isupper()
+    return upper | bool(_ODD.search(token)) << 24 | (not any(map(str.isalnum, token))) << 48
+
+
+class Reader:
+    """Texts to labellers' votes and a bag of words; what depends on a token alone is computed once a token."""
+
+    def __init__(self, learned: dict[str, float]):
+        self.learned = learned
+        self.traits = Cache(_traits)
+        self.plain = Cache(lambda t: t.strip(_ENDS).lower())
+        self.weight = Cache(lambda w: max(learned.get(x, 0.0) for x in (w, *stems(w))))
+
+    def read(self, text: str) -> tuple[set[str], tuple[str, str]]:
+        self.traits.trim()
+        self.plain.trim()
+        self.weight.trim()
+        tokens = text.split()
+        bag = set(map(self.plain.__getitem__, set(tokens)))
+        return bag, (pattern(self.junk_votes(text, tokens)), pattern(self.toxic_votes(tokens, bag)))
+
+    def junk_votes(self, text: str, tokens: list[str]) -> tuple[int, ...]:
+        """Seven labellers: emptiness, capitals, odd characters, bare symbols, stuttering, repeated triples, repeated lines."""
+        n = len(tokens)
+        if n == 0:
+            return (-1, -1, 0, -1, 0, 0, 0)
+        packed = sum(map(self.traits.__getitem__, tokens))
+        upper, odd, bare = ((packed >> at & 0xFFFFFF) / n for at in (0, 24, 48))
+        stutter = sum(map(eq, tokens, tokens[1:])) / n
+        triples = 1 - len(set(zip(tokens, tokens[1:], tokens[2:], strict=False))) / max(1, n - 2) if n >= 30 else 0.0
+        lines = [x for x in text.split("\n") if x.strip()]
+        same = 1 - len(set(lines)) / len(lines) if len(lines) >= 4 else 0.0
+        return (1, *(1 if x <= good else -1 if x >= bad else 0 for x, good, bad in ((upper, 0.2, 0.5), (odd, 0.08, 0.2), (bare, 0.04, 0.1), (stutter, 0.1, 0.2), (triples, 0.15, 0.3), (same, 0.25, 0.45))))
+
+    def toxic_votes(self, tokens: list[str], bag: set[str]) -> tuple[int, ...]:
+        """Four labellers: insults by list, the learned terms' weight of evidence, their number, their share of the words."""
+        seeds = bag & INSULTS
+        weights = {w: x for w in bag if (x := self.weight[w])}
+        hits = seeds | weights.keys()
+        n = sum(w in hits for w in map(self.plain.__getitem__, tokens)) if hits else 0
+        known = 1 if self.learned else 0
+        return (
+            -1 if seeds else 0,
+            -1 if sum(weights.values()) >= 6 else 0 if weights else known,
+            -1 if len(hits) > 1 else 1,
+            -1 if n > 1 and n >= 0.006 * len(tokens) else 0 if n > 1 else 1,
+        )
+
+
+STEMS = (4, 5, 6)
+
+
+def stems(word: str) -> list[str]:
+    """A word's beginnings, marked as such."""
+    return [f"{word[:k]}*" for k in STEMS if len(word) > k]
 
 
 def pattern(votes: tuple[int, ...]) -> str:
@@ -92,17 +108,17 @@ def pattern(votes: tuple[int, ...]) -> str:
 
 
 def learn_terms(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict[str, float]:
-    """Words that stand in toxic documents and hardly in others, with their log-odds; from ``fit_rows`` labelled documents of either kind at most."""
+    """Words and beginnings of words that stand in toxic documents and hardly in others, with their log-odds; from ``fit_rows`` labelled documents of either kind at most."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for v in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     joined = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most 2 * fit_rows ids
 
     def count(batches):
-        of, seen = (Counter(), Counter()), Counter()
+        reader, of, seen = Reader({}), (Counter(), Counter()), Counter()
         for batch in batches:
             for text, y in zip(texts(batch), batch["toxic"].to_pylist(), strict=True):
-                of[y > 0].update({w.lower() for w in _WORD.findall(text)})
+                of[y > 0].update({x for w in map(reader.plain.__getitem__, text.split()) for x in (w, *stems(w))})
                 seen[y > 0] += 1
         words = list(of[1])  # a word in no toxic document can't be learned
         yield pa.RecordBatch.from_pydict({"word": pa.array(["", *words], pa.string()), "toxic": pa.array([seen[True], *(of[1][w] for w in words)], pa.int64()), "clean": pa.array([seen[False], *(of[0][w] for w in words)], pa.int64())})
@@ -113,35 +129,44 @@ def learn_terms(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
         return {}
     nt, nc = sizes.toxic, sizes.clean
     odds = F.log(((F.col("toxic") + 0.5) / (nt + 1.0)) / ((F.col("clean") + 0.5) / (nc + 1.0)))
-    rows = total.where("word <> ''").withColumn("odds", odds).where((F.col("toxic") >= max(3, nt // 200)) & (F.col("odds") >= 3.5)).orderBy(F.desc("odds"), "word").limit(500)
+    rows = total.where("word <> ''").withColumn("odds", odds).where((F.col("toxic") >= max(3, nt // 50)) & (F.col("odds") >= 3.5)).orderBy(F.desc("odds"), "word").limit(1000)
     return {r.word: r.odds for r in rows.collect()}
 
 
-def expectation_maximisation(counts: dict[str, int], prior: float = 0.05, rounds: int = 200) -> dict[str, float]:
-    """Posterior of "yes" for every vote pattern; labellers are independent given the truth, with Laplace-smoothed rates that begin better than chance."""
+#: Rates of the votes -1, 0, 1 with which estimation begins, where the truth is yes and no: junk is of many kinds, of
+#: which a labeller knows one; the toxic labellers see the same words.
+START = {"junk": ((0.3, 0.05, 0.65), (0.001, 0.1, 0.899)), "toxic": ((0.6, 0.1, 0.3), (0.003, 0.1, 0.897))}
+
+
+def expectation_maximisation(counts: dict[str, int], start: tuple, prior: float = 0.1, rounds: int = 200) -> dict[str, float]:
+    """Posterior of "yes" for every vote pattern; labellers are independent given the truth.
+
+    Pseudo-counts of one part in fifty hold the rates near their start where the
+    votes say little. A labeller is taken to know a tenth of what is sought at
+    least, and to be wrong on two in a thousand of the rest at most.
+    """
     if not counts:
         return {}
     names = sorted(counts)
     n = np.array([counts[p] for p in names], float)
-    votes = np.array([["-0+".index(c) for c in p] for p in names])
-    onehot = np.eye(3)[votes]  # pattern, labeller, vote
-    rates = np.tile(np.array([[[0.7, 0.2, 0.1]], [[0.05, 0.15, 0.8]]]), (1, votes.shape[1], 1))  # truth yes / no
-    p = prior
-    post = np.zeros(len(n))
+    onehot = np.eye(3)[np.array([["-0+".index(c) for c in p] for p in names])]  # pattern, labeller, vote
+    begin = np.array(start)
+    rates = np.repeat(begin[:, None, :], onehot.shape[1], axis=1)  # truth, labeller, vote
+    p, post = prior, np.zeros(len(n))
     for _ in range(rounds):
-        logs = [np.log(q) + np.einsum("plv,lv->p", onehot, np.log(r)) for q, r in zip((p, 1 - p), rates, strict=True)]
-        new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -500, 500)))
+        yes, no = (np.log(q) + np.einsum("plv,lv->p", onehot, np.log(r)) for q, r in zip((p, 1 - p), rates, strict=True))
+        new = 1 / (1 + np.exp(np.clip(no - yes, -500, 500)))
         done = np.abs(new - post).max() < 1e-9
         post = new
         if done:
             break
-        p = float(np.clip((n * post).sum() / n.sum(), 1e-4, 0.5))
+        p = float(np.clip((n * post).sum() / n.sum(), 1e-3, 0.5))
         for i, w in enumerate((n * post, n * (1 - post))):
-            # pseudo-counts hold the rates near their start where there is little evidence, and a "yes" vote never speaks against
-            seen = np.einsum("p,plv->lv", w, onehot) + 5 * np.array([[0.7, 0.2, 0.1], [0.05, 0.15, 0.8]][i])
+            seen = np.einsum("p,plv->lv", w, onehot) + (5 + 0.02 * n.sum() * (p, 1 - p)[i]) * begin[i]
             rates[i] = seen / seen.sum(1, keepdims=True)
-        rates[0, :, 0] = np.maximum(rates[0, :, 0], rates[1, :, 0])
-        rates[0] /= rates[0].sum(1, keepdims=True)
+        rates[0, :, 0] = np.maximum(rates[0, :, 0], 0.1)
+        rates[1, :, 0] = np.minimum(rates[1, :, 0], 0.002)
+        rates /= rates.sum(2, keepdims=True)
     return dict(zip(names, post.tolist(), strict=True))
 
 
@@ -177,36 +202,34 @@ def train_scorer(examples: list[tuple[list[int], list[float], float]], epochs: i
     return w, bias
 
 
-def _votes(text: str, learned: dict[str, float]) -> tuple[list[str], tuple[str, str]]:
-    words = _WORD.findall(text)
-    return words, (pattern(junk_votes(text, words)), pattern(toxic_votes(words, learned)))
-
-
 def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
     """One row per document: p_junk, p_toxic, posterior_junk, posterior_toxic and ``keep`` (both scores below the threshold)."""
     docs = doc_columns(docs)
     learned = learn_terms(docs, labels, fit_rows) if labels is not None else {}
 
-    def vote(batch):
-        found = [_votes(t, learned)[1] for t in texts(batch)]
-        return pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "junk": pa.array([f[0] for f in found], pa.string()), "toxic": pa.array([f[1] for f in found], pa.string())})
+    def vote(batches):
+        reader = Reader(learned)
+        for batch in text_slices(batches):
+            found = [reader.read(t)[1] for t in texts(batch)]
+            yield pa.RecordBatch.from_pydict({"junk": pa.array([f[0] for f in found], pa.string()), "toxic": pa.array([f[1] for f in found], pa.string())})
 
-    votes = map_text(docs, vote, "doc_id long, junk string, toxic string").groupBy("junk", "toxic").agg(F.count("*").alias("n"))
-    found = votes.collect()  # patterns, 3^10 at most
+    votes = docs.mapInArrow(vote, "junk string, toxic string").groupBy("junk", "toxic").agg(F.count("*").alias("n"))
+    found = votes.collect()  # patterns, 3^12 at most
     posterior = []
     for task in TASKS:
         counts = Counter()
         for r in found:
             counts[r[task]] += r.n
-        posterior.append(expectation_maximisation(counts))
+        posterior.append(expectation_maximisation(counts, START[task]))
 
     def sample(batches):
-        for batch in batches:
+        reader = Reader(learned)
+        for batch in text_slices(batches):
             out = {"task": [], "slots": [], "vals": [], "y": []}
             for text in texts(batch):
-                words, pats = _votes(text, learned)
+                bag, pats = reader.read(text)
                 for task in range(len(TASKS)):
-                    slots, vals = _features(task, {w.lower() for w in words}, pats[task])
+                    slots, vals = _features(task, bag, pats[task])
                     for name, x in zip(out, (task, slots, vals, posterior[task].get(pats[task], 0.0)), strict=True):
                         out[name].append(x)
             yield pa.RecordBatch.from_pydict({"task": pa.array(out["task"], pa.int32()), "slots": pa.array(out["slots"], pa.list_(pa.int32())), "vals": pa.array(out["vals"], pa.list_(pa.float32())), "y": pa.array(out["y"], pa.float64())})
@@ -218,21 +241,20 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = F
     for r in drawn.mapInArrow(sample, "task int, slots array<int>, vals array<float>, y double").toLocalIterator():
         examples[r.task].append((r.slots, r.vals, r.y))
     # Every vote pattern is an example too, so that rare ones are learned.
-    for task, name in enumerate(TASKS):
+    for task in range(len(TASKS)):
         for pat, y in posterior[task].items():
             examples[task].append((*_features(task, set(), pat), y))
-        del name
     models = [train_scorer(e) for e in examples]
     packed = [(w.astype(np.float32), b) for w, b in models]
 
     def score(batches):
         weights = [w for w, _ in packed]
         caches = [Cache(lambda word, w=w: float(w[_slot(word)])) for w in weights]
-        for batch in batches:
+        reader = Reader(learned)
+        for batch in text_slices(batches):
             columns: dict[str, list] = {"p_junk": [], "p_toxic": [], "posterior_junk": [], "posterior_toxic": []}
             for text in texts(batch):
-                words, pats = _votes(text, learned)
-                bag = {w.lower() for w in words}
+                bag, pats = reader.read(text)
                 scale = 1 / math.sqrt(max(1, len(bag)))
                 for task, name in enumerate(TASKS):
                     z = packed[task][1] + scale * sum(map(caches[task].__getitem__, bag)) + sum(float(weights[task][_slot(f"\x00{task}:{i}{v}")]) for i, v in enumerate(pats[task]))
@@ -241,4 +263,4 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = F
                     caches[task].trim()
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"]} | {k: pa.array(v, pa.float64()) for k, v in columns.items()} | {"keep": pa.array([max(x) < threshold for x in zip(columns["p_junk"], columns["p_toxic"], strict=True)], pa.bool_())})
 
-    return docs.mapInArrow(lambda batches: score(text_slices(batches)), "doc_id long, p_junk double, p_toxic double, posterior_junk double, posterior_toxic double, keep boolean")
+    return docs.mapInArrow(score, "doc_id long, p_junk double, p_toxic double, posterior_junk double, posterior_toxic double, keep boolean")
