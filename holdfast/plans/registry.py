@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-FLAGSHIP = ""
+from holdfast.plans.queries import ORACLE, QUERIES
+
+FLAGSHIP = "asof_nearest"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
