@@ -7,15 +7,17 @@ paths with ``FIRST`` minwise values; a node is the set of documents on one
 path. A node of more than ``small`` documents branches: two further coordinates,
 drawn from the node's own hash, extend every document's path by its values
 there, so that a pair at the least similarity survives a level 1.6 times in
-expectation. Nodes that are small, or still large after ``depth`` levels (they
-hold documents alike in nearly all values), are compared exhaustively, the
-large ones in pairs of blocks of a fixed size.
+expectation. Nodes that are small, are ``dense`` (most documents agree in both
+further coordinates too, so that branching would only copy them) or are left
+after ``depth`` levels are compared exhaustively, the large ones in pairs of
+blocks of a fixed size.
 
 A comparison looks at minwise values: pairs that agree in far fewer than the
-threshold's share of them are no candidates. Sure pairs are given as a star
-around their first document; unsure pairs only between such stars, as links
-inside one add nothing to a component. All candidates are then confirmed on the
-full sets, and confirmed links and classes give the components.
+threshold's share of them are no candidates. As components need no more than a
+spanning forest, a node first gives its best one, and its edges are confirmed on the
+full sets. Where one fails, the node gives all its untested candidates between
+documents that are not yet in one component, and these are confirmed too. So no
+link is lost to the forest, and copies are never expanded into all pairs.
 
 Defined cases: null text counts as empty; documents without words have an empty
 set and link with nothing; documents of fewer words than a shingle have their
@@ -40,9 +42,9 @@ from holdfast.operators.components import connected_components
 from holdfast.scratch import drop, release, written
 
 COORDINATES = 128
-TREES, FIRST, DEPTH = 20, 3, 4
+TREES, FIRST, DEPTH = 20, 3, 3
 #: Nodes up to this many documents are compared as they are; larger ones in blocks of this size once they no longer branch.
-SMALL, BLOCK = 128, 1024
+SMALL, BLOCK = 128, 2048
 #: Ids that a map-side filter holds at most; beyond that it is a join.
 IDS_IN_MEMORY = 2_000_000
 
@@ -121,7 +123,7 @@ def _first_nodes(trees: int):
 
 
 def _branched(batches):
-    """(node, doc_id) of the children: two coordinates that the node's hash draws."""
+    """(parent, node, doc_id) of the children: two coordinates that the node's hash draws."""
     for batch in batches:
         ids = batch["doc_id"].to_numpy()
         node = batch["node"].to_numpy().view(np.uint64)
@@ -132,97 +134,110 @@ def _branched(batches):
         for c in (first, second):
             value = sig[np.arange(len(ids)), c.astype(np.int64)]
             child = mixed(mixed(node * np.uint64(5) + c + np.uint64(1)) + value)
-            yield pa.RecordBatch.from_pydict({"node": pa.array(child.view(np.int64)), "doc_id": pa.array(ids, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"parent": batch["node"], "node": pa.array(child.view(np.int64)), "doc_id": pa.array(ids, pa.int64())})
+
+
+def forest(ids: np.ndarray, sig: np.ndarray, unsure: float) -> list[tuple[int, int]]:
+    """The spanning forest of greatest agreement among pairs over ``unsure`` (Prim's method)."""
+    n = len(ids)
+    best, near, out = np.full(n, -1.0), np.zeros(n, np.int64), []
+    left = np.ones(n, bool)
+    for _ in range(n):
+        v = int(np.argmax(np.where(left, best, -2.0)))
+        left[v] = False
+        if best[v] >= unsure and ids[v] != ids[near[v]]:
+            out.append((int(min(ids[v], ids[near[v]])), int(max(ids[v], ids[near[v]]))))
+        rest = np.flatnonzero(left)
+        if len(rest):
+            alike = (sig[rest] == sig[v]).mean(1)
+            better = alike > best[rest]
+            best[rest[better]], near[rest[better]] = alike[better], v
+    return out
 
 
-def compared(a_ids: np.ndarray, a: np.ndarray, b_ids: np.ndarray, b: np.ndarray, same: bool, sure: float, unsure: float) -> list[tuple[int, int]]:
-    """Candidate pairs between two blocks of a node (or inside one, if ``same``)."""
-    ids, sig = (a_ids, a) if same else (np.concatenate([a_ids, b_ids]), np.concatenate([a, b]))
-    side = np.zeros(len(ids), bool) if same else np.arange(len(ids)) >= len(a_ids)
-    order = np.argsort(ids, kind="stable")
-    ids, sig, side = ids[order], sig[order], side[order]
-    star = np.full(len(ids), -1)
+def untested(ids: np.ndarray, sig: np.ndarray, component: np.ndarray, unsure: float) -> list[tuple[int, int]]:
+    """All pairs over ``unsure`` between different components."""
     out = []
-    for i in range(len(ids)):  # sure pairs: each document not yet in a star begins one
-        if star[i] >= 0:
-            continue
-        star[i] = i
-        rest = np.flatnonzero(star < 0)
-        near = rest[(sig[rest] == sig[i]).mean(1) >= sure] if len(rest) else rest
-        star[near] = i
-        out += [(int(ids[i]), int(ids[j])) for j in near if ids[i] != ids[j]]
-    if (star == 0).all():
-        return out
-    for i in range(len(ids)):
-        others = np.arange(i + 1, len(ids))
-        others = others[star[others] != star[i]] if same else others[(star[others] != star[i]) & (side[others] != side[i])]
+    for i in range(len(ids) - 1):
+        others = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
         if len(others):
             near = others[(sig[others] == sig[i]).mean(1) >= unsure]
-            out += [(int(ids[i]), int(ids[j])) for j in near if ids[i] != ids[j]]
+            out += [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for j in near if ids[i] != ids[j]]
     return out
 
 
-def _node_pairs(sure: float, unsure: float):
-    """Pairs of all nodes whose rows come together, by node."""
+def _group_pairs(unsure: float, again: bool):
+    """(gid, src, dst) of all groups whose rows come together; a bin holds many small groups or one of two blocks."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out: set[tuple[int, int]] = set()
-        pdf = pdf.sort_values("node", kind="stable")
-        nodes, ids = pdf["node"].to_numpy(), pdf["doc_id"].to_numpy()
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["gid", "doc_id"], kind="stable")
+        gids, ids = pdf["gid"].to_numpy(), pdf["doc_id"].to_numpy()
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, COORDINATES)
-        cuts = [0, *(np.flatnonzero(np.diff(nodes)) + 1).tolist(), len(nodes)]
+        component = pdf["component"].to_numpy() if again else None
+        cuts = [0, *(np.flatnonzero(np.diff(gids)) + 1).tolist(), len(gids)]
+        out: list[tuple[int, int, int]] = []
         for s, e in zip(cuts, cuts[1:], strict=False):
-            if e - s == 2:
-                if ids[s] != ids[s + 1] and (sig[s] == sig[s + 1]).mean() >= unsure:
-                    out.add((int(min(ids[s], ids[s + 1])), int(max(ids[s], ids[s + 1]))))
-            elif e - s > 2:
-                out.update(compared(ids[s:e], sig[s:e], ids[:0], sig[:0], True, sure, unsure))
-        return pd.DataFrame(sorted(out), columns=["src", "dst"], dtype="int64")
+            found = untested(ids[s:e], sig[s:e], component[s:e], unsure) if again else forest(ids[s:e], sig[s:e], unsure)
+            out += [(int(gids[s]), x, y) for x, y in set(found)]
+        return pd.DataFrame(out, columns=["gid", "src", "dst"], dtype="int64")
 
     return run
 
 
-def _block_pairs(sure: float, unsure: float):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, COORDINATES)
-        ids, left = pdf["doc_id"].to_numpy(), (pdf["block"] == key[1]).to_numpy()
-        found = compared(ids[left], sig[left], ids[~left], sig[~left], key[1] == key[2], sure, unsure)
-        return pd.DataFrame(sorted(set(found)), columns=["src", "dst"], dtype="int64")
-
-    return run
-
-
-def candidates(reps: DataFrame, threshold: float, trees: int = TREES, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
-    """Distinct candidate pairs (src < dst) among representatives (doc_id, sig)."""
-    spread = (threshold * (1 - threshold) / COORDINATES) ** 0.5
-    unsure, sure = threshold - 4.5 * spread, min(1.0, threshold + 3.2 * spread)
-    pairs, made = [], []
+def groups(reps: DataFrame, trees: int, small: int, block: int, depth: int) -> DataFrame:
+    """(gid, doc_id): small nodes, and pairs of blocks of large ones."""
+    found, made = [], []
     nodes = reps.mapInArrow(_first_nodes(trees), "node long, doc_id long")
-    spread_over = max(12, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 8
     for level in range(depth + 1):
         nodes = written(nodes, "dedup-nodes")
         sizes = written(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "dedup-sizes")
         made += [nodes, sizes]
         tagged = nodes.join(sizes, "node")
-        near = tagged.where(F.col("size") <= small).select("node", "doc_id").join(reps, "doc_id").withColumn("bin", F.pmod("node", F.lit(spread_over)).cast("int"))
-        pairs.append(near.select("bin", "node", "doc_id", "sig").groupBy("bin").applyInPandas(_node_pairs(sure, unsure), "src long, dst long"))
+        found.append(tagged.where(F.col("size") <= small).select(F.col("node").alias("gid"), "doc_id"))
         large = tagged.where(F.col("size") > small)
         if sizes.where(F.col("size") > small).isEmpty():
             break
+        dense = large
         if level < depth:
-            nodes = large.select("node", "doc_id").join(reps, "doc_id").mapInArrow(_branched, "node long, doc_id long")
-            continue
+            children = written(large.select("node", "doc_id").join(reps, "doc_id").mapInArrow(_branched, "parent long, node long, doc_id long"), "dedup-children")
+            made.append(children)
+            per_child = children.groupBy("parent", "node").agg(F.count("*").alias("n"))
+            close = per_child.join(sizes.withColumnRenamed("node", "parent"), "parent").groupBy("parent").agg(F.sum(F.when(F.col("n") * 2 > F.col("size"), 1).otherwise(0)).alias("kept"))
+            stuck = written(close.where("kept >= 2").select("parent"), "dedup-dense")
+            made.append(stuck)
+            dense = large.join(stuck.withColumnRenamed("parent", "node"), "node", "left_semi")
+            nodes = children.join(stuck, "parent", "left_anti").select("node", "doc_id")
         n = F.ceil(F.col("size") / F.lit(block)).cast("int")
-        blocked = large.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        blocked = dense.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         met = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met = met.select("node", "doc_id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(reps, "doc_id")
-        pairs.append(met.select("node", "i", "j", "block", "doc_id", "sig").groupBy("node", "i", "j").applyInPandas(_block_pairs(sure, unsure), "src long, dst long"))
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out.unionByName(p)
-    found = written(out.distinct(), "dedup-pairs")
+        found.append(met.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("gid"), "doc_id"))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    out = written(out, "dedup-groups")
     drop(*made)
-    return found
+    return out
+
+
+def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, trees: int = TREES, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
+    """Confirmed links (src < dst) among representatives (doc_id, sig): enough of them for the components."""
+    share = percent / 100
+    unsure = share - 4 * (share * (1 - share) / COORDINATES) ** 0.5
+    members = groups(reps, trees, small, block, depth)
+    bins = 8 * max(12, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    schema = "gid long, src long, dst long"
+    binned = lambda df: df.withColumn("bin", F.pmod(F.xxhash64("gid"), F.lit(bins)).cast("int")).groupBy("bin")
+    first = written(binned(members.join(reps, "doc_id")).applyInPandas(_group_pairs(unsure, False), schema), "dedup-first")
+    sure = written(confirmed(docs, first.select("src", "dst").distinct(), n, percent), "dedup-sure")
+    failed = written(first.join(sure, ["src", "dst"], "left_anti").select("gid").distinct(), "dedup-failed")
+    if failed.isEmpty():
+        return sure
+    parts = connected_components(sure).withColumnsRenamed({"node": "doc_id"})
+    open_members = members.join(failed, "gid", "left_semi").join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    more = binned(open_members.join(reps, "doc_id")).applyInPandas(_group_pairs(unsure, True), schema)
+    rest = written(more.select("src", "dst").distinct().join(first.select("src", "dst").distinct(), ["src", "dst"], "left_anti"), "dedup-rest")
+    drop(members, first, failed)
+    return sure.unionByName(confirmed(docs, rest, n, percent))
 
 
 def _held(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -267,10 +282,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     reps = written(
         rows.where("doc_id is not null and digest is not null").select("doc_id", "digest", "sig").join(classes, "digest").where("doc_id = rep").groupBy("doc_id").agg(F.first("sig").alias("sig")), "dedup-reps"
     )
-    pairs = candidates(reps, percent / 100, trees, small)
     release(spark)
-    links = written(confirmed(docs, pairs, shingle_words, percent), "dedup-links")
-    components = written(connected_components(links), "dedup-components").withColumnsRenamed({"node": "rep", "component": "joined"})
+    linked = written(links(docs, reps, shingle_words, percent, trees, small), "dedup-links")
+    components = written(connected_components(linked), "dedup-components").withColumnsRenamed({"node": "rep", "component": "joined"})
     named = classes.join(components, "rep", "left").select("digest", F.coalesce("joined", "rep").alias("component_id"))
     # A component is named by its smallest id: the smallest representative, as each is the smallest of its class.
     out = rows.select("doc_id", "n", "digest").join(named, "digest", "left")

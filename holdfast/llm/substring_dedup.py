@@ -205,17 +205,30 @@ def _keys(w: int, buckets: int):
     return run
 
 
-def _per_document(doc: np.ndarray, key: np.ndarray) -> pd.DataFrame:
+def _by_slot(doc: np.ndarray, key: np.ndarray, slots: int) -> pd.DataFrame:
+    """Entries cut by a hash of the document: a row for each slot, not for each document."""
     doc, key = _distinct(doc, key)
+    slot = (_mixed(doc.view(np.uint64)) % np.uint64(slots)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    parts = [i for i in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1) if len(i)]
+    return pd.DataFrame({"slot": np.array([slot[i[0]] for i in parts], np.int32), "docs": [doc[i].tobytes() for i in parts], "keys": [key[i].tobytes() for i in parts]})
+
+
+_SLOTS = "slot int, docs binary, keys binary"
+
+
+def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A slot's documents with their keys."""
+    doc, key = _distinct(_joined(pdf, "docs", np.int64), _joined(pdf, "keys", np.uint64))
     cuts = np.flatnonzero(np.diff(doc)) + 1
-    return pd.DataFrame({"doc_id": doc[np.concatenate([[0], cuts])] if len(doc) else doc, "keys": [k.tobytes() for k in np.split(key, cuts)] if len(doc) else []})
+    return pd.DataFrame({"doc_id": doc[np.concatenate([[0], cuts])], "keys": [k.tobytes() for k in np.split(key, cuts)]})
 
 
 def _joined(pdf: pd.DataFrame, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(pdf[column]), kind)
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+def _shared(pdf: pd.DataFrame, slots: int) -> pd.DataFrame:
     """Keys of more than one document in a bucket, by document."""
     told, asked = pdf[pdf["told"]], pdf[~pdf["told"]]
     key, many, doc = _joined(asked, "a", np.uint64), _joined(asked, "b", np.uint8), _joined(asked, "c", np.int64)
@@ -226,7 +239,7 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     differs = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
     np.logical_or.at(differs, group, (doc != lowest) | (many > 0))
     keep = differs[group] & (many == 0) if len(group) else np.zeros(0, bool)
-    return _per_document(np.concatenate([_joined(told, "c", np.int64), doc[keep]]), np.concatenate([_joined(told, "a", np.uint64), key[keep]]))
+    return _by_slot(np.concatenate([_joined(told, "c", np.int64), doc[keep]]), np.concatenate([_joined(told, "a", np.uint64), key[keep]]), slots)
 
 
 def _windows(w: int, buckets: int):
@@ -252,14 +265,14 @@ def _windows(w: int, buckets: int):
     return run
 
 
-def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
+def _repeated(pdf: pd.DataFrame, slots: int) -> pd.DataFrame:
     """Window hashes that a smaller document has, by document."""
     told, asked = pdf[pdf["told"]], pdf[~pdf["told"]]
     h, g, doc = _distinct(_joined(asked, "a", np.uint64), _joined(asked, "b", np.uint32), _joined(asked, "c", np.int64))
     group = _groups(h, g)
     later = np.zeros(len(group), bool)
     later[1:] = group[1:] == group[:-1]
-    return _per_document(np.concatenate([_joined(told, "c", np.int64), doc[later]]), np.concatenate([_joined(told, "a", np.uint64), h[later]]))
+    return _by_slot(np.concatenate([_joined(told, "c", np.int64), doc[later]]), np.concatenate([_joined(told, "a", np.uint64), h[later]]), slots)
 
 
 def _kept_words(w: int):
@@ -311,16 +324,22 @@ def repeats(docs: DataFrame, window: int = 13) -> tuple[DataFrame, DataFrame, Da
     long = described.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     first = long.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     copies = written(long.join(first, "digest").where("doc_id > first").select("doc_id").distinct(), "repeat-copies")
-    by_doc = F.expr("aggregate(collect_list(keys), cast('' as binary), (a, x) -> concat(a, x))").alias("keys")
     # An id with rows of several texts is no mere copy if one of its texts is not.
     mixed = long.groupBy("doc_id").agg(F.countDistinct("digest").alias("n")).where("n > 1").select("doc_id")
     pure = written(copies.join(mixed, "doc_id", "left_anti"), "repeat-pure")
     drop(copies)
-    shared = docs.mapInArrow(_keys(window, buckets), _BLOBS).groupBy("bucket").applyInPandas(_shared, "doc_id long, keys binary")
-    candidates = written(shared.groupBy("doc_id").agg(by_doc).join(pure, "doc_id", "left_anti"), "repeat-keys")
+    slots = -(-buckets // 2)
+
+    def met(entries: DataFrame, function) -> DataFrame:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            return function(pdf, slots)
+
+        return entries.groupBy("bucket").applyInPandas(run, _SLOTS).groupBy("slot").applyInPandas(_gathered, "doc_id long, keys binary")
+
+    shared = met(docs.mapInArrow(_keys(window, buckets), _BLOBS), _shared)
+    candidates = written(shared.join(pure, "doc_id", "left_anti"), "repeat-keys")
     release(spark)
-    hits = _having(docs, candidates).mapInArrow(_windows(window, buckets), _BLOBS).groupBy("bucket").applyInPandas(_repeated, "doc_id long, keys binary")
-    keys = written(hits.groupBy("doc_id").agg(by_doc), "repeat-windows")
+    keys = written(met(_having(docs, candidates).mapInArrow(_windows(window, buckets), _BLOBS), _repeated), "repeat-windows")
     drop(candidates)
     release(spark)
     return described, pure, keys
