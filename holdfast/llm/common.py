@@ -61,14 +61,15 @@ def doc_columns(docs: DataFrame) -> DataFrame:
 class Cache(dict):
     """Word to value, computed on first sight, bounded between uses by trim()."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = CACHE_WORDS):
         super().__init__()
         self.make = make
+        self.most = most
 
     def __missing__(self, key):
         value = self[key] = self.make(key)
         return value
 
     def trim(self):
-        if len(self) > CACHE_WORDS:
+        if len(self) > self.most:
             self.clear()

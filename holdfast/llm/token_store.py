@@ -26,6 +26,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -77,12 +78,17 @@ def chunk_ends(ids: np.ndarray) -> list[int]:
     return [*ends, n]
 
 
+_BEYOND_LATIN = re.compile(r"[^\x00-\u024f]|\u0130|<\|")
+_STOP = re.compile(r"(?<=[a-zà-öø-ÿ])([,.])(?=[ \n]|\Z)")
+
+
 class Encoder:
     """Text to id bytes, word by word where the tokenizer splits at white space anyway.
 
-    ``split_words`` may be set for a tokenizer that drops white space, as its ids
-    of a text are then those of the text's words in a row; each distinct word is
-    encoded once. Otherwise whole texts are encoded.
+    ``split_words`` may be set for a tokenizer that lowers case, drops white space
+    and parts letters from other signs, as its ids of a text are then those of the
+    text's words in a row; each distinct word is encoded once. Otherwise whole
+    texts are encoded.
     """
 
     def __init__(self, path: str, split_words: bool):
@@ -91,7 +97,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = id_dtype(self.tokenizer.get_vocab_size())
         self.split_words = split_words
-        self.cache = Cache(lambda w: self.whole(w))
+        self.cache = Cache(lambda w: self.whole(w), 1_200_000)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -100,6 +106,10 @@ class Encoder:
         if not self.split_words:
             return self.whole(text)
         self.cache.trim()
+        # The same words with fewer spellings: where no character is beyond Latin letters, lower case is the tokenizer's own,
+        # and a comma or full stop between a letter and white space is a word of its own to it.
+        if not _BEYOND_LATIN.search(text):
+            text = _STOP.sub(r" \1", text.lower())
         return b"".join(map(self.cache.__getitem__, text.replace("\n", " ").split(" ")))
 
 

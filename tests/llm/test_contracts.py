@@ -57,7 +57,7 @@ def test_tokens(spark, docs):
 
 
 def test_tokens_word_by_word_is_exact():
-    texts = ["Don't  STOP\tme\nnow ok", "é é ΟΔΟΣ ς", "<|endoftext|> x<|startoftext|>y", " ", "", "\x1c a\x85b", "İstanbul ß 1234 a.b,c!!"]
+    texts = ["Don't  STOP\tme\nnow ok", "é é ΟΔΟΣ ς", "<|endoftext|> x<|startoftext|>y", " ", "", "\x1c a\x85b", "İstanbul ß 1234 a.b,c!!", "Été, d'Or. x!!, y., z,. ÀÉ,\nw.", "a, b. c,", "it's, 'S. 5, 6."]
     by_word, whole = (token_store.Encoder(queries.tokenizer_path(), s) for s in (True, False))
     for t in texts:
         assert by_word(t) == whole(t), t
