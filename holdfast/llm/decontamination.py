@@ -106,6 +106,28 @@ class Index:
                 self.needed.add(t)
                 rest -= next(s for m, s in self.postings[t] if m == n)
 
+        # More of them, down to a quarter of the weight: what is left of the threshold must come from these.
+        self.essential: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        self.lack = [math.inf] * len(items)
+        for n, bag in enumerate(bags):
+            rest, weight = own[n], {t: next(s for m, s in self.postings[t] if m == n) for t in bag}
+            for t in sorted(bag, key=lambda t: (df[t], t)):
+                if rest <= 0.25 * own[n]:
+                    break
+                self.essential[t].append((n, weight[t]))
+                rest -= weight[t]
+            self.lack[n] = self.threshold[n] - rest - 1e-9
+
+    def hopeful(self, terms: set[str]) -> bool:
+        """Whether some item could reach its threshold, by its essential terms alone; if not, the walk finds nothing."""
+        got: dict[int, float] = {}
+        for t in terms & self.essential.keys():
+            for n, s in self.essential[t]:
+                got[n] = x = got.get(n, 0.0) + s
+                if x >= self.lack[n]:
+                    return True
+        return False
+
     def retrieve(self, terms: set[str]) -> list[int]:
         """Numbers of all items whose score reaches their threshold, by block-max WAND."""
         cursors = [[self.numbers[t][0], 0, t] for t in terms if t in self.numbers]
@@ -191,7 +213,8 @@ def _search(sent, overlap: float):
                         break
                     if places[at] >= start + 2 * half:
                         continue
-                    for n in index.retrieve(set(words[start : start + 2 * half])):
+                    terms = set(words[start : start + 2 * half])
+                    for n in index.retrieve(terms) if index.hopeful(terms) else ():
                         if n in seen:
                             continue
                         seen.add(n)
