@@ -15,14 +15,16 @@ blocks of a fixed size.
 A comparison looks at minwise values: pairs that agree in far fewer than the
 threshold's share of them are no candidates. As components need no more than a
 spanning forest, a node first gives its best one, and its edges are confirmed on the
-full sets. Where one fails, the node gives all its untested candidates between
-documents that are not yet in one component, and these are confirmed too. So no
-link is lost to the forest, and copies are never expanded into all pairs.
+full sets. Where one fails, the full sets of the node's documents come to its task,
+in pairs of blocks where they are too many, and all candidates between documents that
+are not yet in one component are tested there; only links that join components leave
+the task. So no link is lost to the forest, and neither copies nor near misses are
+ever listed as pairs.
 
 Defined cases: null text counts as empty; documents without words have an empty
 set and link with nothing; documents of fewer words than a shingle have their
 word sequence as their one shingle; repeated rows of one id are one document,
-whose set is that of its rows' smallest digest; rows with null id are dropped
+whose set is that of its rows' greatest digest; rows with null id are dropped
 from linking and come out alone, without a component; an empty table gives an
 empty table; other columns are ignored.
 """
@@ -47,6 +49,8 @@ TREES, FIRST, DEPTH = 20, 3, 3
 SMALL, BLOCK = 128, 2048
 #: Ids that a map-side filter holds at most; beyond that it is a join.
 IDS_IN_MEMORY = 2_000_000
+#: Shingles, about, whose sets one task holds when it tests groups.
+BIN_SHINGLES = 4_000_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _rng = np.random.default_rng(20240607)
@@ -155,35 +159,65 @@ def forest(ids: np.ndarray, sig: np.ndarray, unsure: float) -> list[tuple[int, i
     return out
 
 
-def untested(ids: np.ndarray, sig: np.ndarray, component: np.ndarray, unsure: float) -> list[tuple[int, int]]:
-    """All pairs over ``unsure`` between different components."""
-    out = []
+def tested(ids: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], component: np.ndarray, unsure: float, percent: int) -> list[tuple[int, int]]:
+    """Links that hold on the full sets and join different components: all candidates are tested, save those that earlier links made one component."""
+    out, sizes = [], np.array([len(s) for s in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    coded = np.split(codes, np.cumsum(sizes)[:-1])
+    mine = np.zeros(int(codes.max()) + 1, bool)
+    component = component.copy()
     for i in range(len(ids) - 1):
         others = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
-        if len(others):
-            near = others[(sig[others] == sig[i]).mean(1) >= unsure]
-            out += [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for j in near if ids[i] != ids[j]]
+        others = others[(100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i]))]
+        others = others[(sig[others] == sig[i]).mean(1) >= unsure]
+        if not len(others):
+            continue
+        mine[coded[i]] = True
+        both = np.add.reduceat(mine[np.concatenate([coded[j] for j in others])], np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+        mine[coded[i]] = False
+        for j in others[100 * both >= percent * (sizes[i] + sizes[others] - both)]:
+            if component[j] != component[i]:
+                out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                component[component == component[j]] = component[i]
     return out
 
 
-def _group_pairs(unsure: float, again: bool):
-    """(gid, src, dst) of all groups whose rows come together; a bin holds many small groups or one of two blocks."""
+def _cut(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[int, int]]]:
+    """A bin's rows by group, and where each group lies."""
+    pdf = pdf.sort_values(["gid", "doc_id"], kind="stable")
+    cuts = [0, *(np.flatnonzero(np.diff(pdf["gid"].to_numpy())) + 1).tolist(), len(pdf)]
+    return pdf, list(zip(cuts, cuts[1:], strict=False))
+
+
+def _sigs(pdf: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, COORDINATES)
+
+
+def _forests(unsure: float):
+    """(gid, src, dst) of the forests of all groups in a bin."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["gid", "doc_id"], kind="stable")
-        gids, ids = pdf["gid"].to_numpy(), pdf["doc_id"].to_numpy()
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, COORDINATES)
-        component = pdf["component"].to_numpy() if again else None
-        cuts = [0, *(np.flatnonzero(np.diff(gids)) + 1).tolist(), len(gids)]
-        out: list[tuple[int, int, int]] = []
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            found = untested(ids[s:e], sig[s:e], component[s:e], unsure) if again else forest(ids[s:e], sig[s:e], unsure)
-            out += [(int(gids[s]), x, y) for x, y in set(found)]
+        pdf, parts = _cut(pdf)
+        gids, ids, sig = pdf["gid"].to_numpy(), pdf["doc_id"].to_numpy(), _sigs(pdf)
+        out = [(int(gids[s]), x, y) for s, e in parts for x, y in set(forest(ids[s:e], sig[s:e], unsure))]
         return pd.DataFrame(out, columns=["gid", "src", "dst"], dtype="int64")
 
     return run
 
 
+def _tested_groups(unsure: float, percent: int):
+    """(src, dst) of the links that the groups in a bin lack."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, parts = _cut(pdf)
+        ids, sig, component = pdf["doc_id"].to_numpy(), _sigs(pdf), pdf["component"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+        out = [link for s, e in parts if (component[s:e] != component[s]).any() for link in tested(ids[s:e], sig[s:e], sets[s:e], component[s:e], unsure, percent)]
+        return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
+
+    return run
+
+
 def groups(reps: DataFrame, trees: int, small: int, block: int, depth: int) -> DataFrame:
     """(gid, doc_id): small nodes, and pairs of blocks of large ones."""
     found, made = [], []
@@ -219,25 +253,33 @@ def groups(reps: DataFrame, trees: int, small: int, block: int, depth: int) -> D
     return out
 
 
-def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, trees: int = TREES, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, trees: int = TREES, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH, bin_shingles: int = BIN_SHINGLES) -> DataFrame:
     """Confirmed links (src < dst) among representatives (doc_id, sig): enough of them for the components."""
     share = percent / 100
     unsure = share - 4 * (share * (1 - share) / COORDINATES) ** 0.5
     members = groups(reps, trees, small, block, depth)
     bins = 8 * max(12, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    schema = "gid long, src long, dst long"
-    binned = lambda df: df.withColumn("bin", F.pmod(F.xxhash64("gid"), F.lit(bins)).cast("int")).groupBy("bin")
-    first = written(binned(members.join(reps, "doc_id")).applyInPandas(_group_pairs(unsure, False), schema), "dedup-first")
+    binned = lambda df, most: df.withColumn("bin", F.pmod(F.xxhash64("gid"), F.lit(most)).cast("int")).groupBy("bin")
+    first = written(binned(members.join(reps, "doc_id"), bins).applyInPandas(_forests(unsure), "gid long, src long, dst long"), "dedup-first")
     sure = written(confirmed(docs, first.select("src", "dst").distinct(), n, percent), "dedup-sure")
     failed = written(first.join(sure, ["src", "dst"], "left_anti").select("gid").distinct(), "dedup-failed")
     if failed.isEmpty():
         return sure
     parts = connected_components(sure).withColumnsRenamed({"node": "doc_id"})
-    open_members = members.join(failed, "gid", "left_semi").join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    more = binned(open_members.join(reps, "doc_id")).applyInPandas(_group_pairs(unsure, True), schema)
-    rest = written(more.select("src", "dst").distinct().join(first.select("src", "dst").distinct(), ["src", "dst"], "left_anti"), "dedup-rest")
-    drop(members, first, failed)
-    return sure.unionByName(confirmed(docs, rest, n, percent))
+    left = members.join(failed, "gid", "left_semi").join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    left = written(left, "dedup-open")
+    sets = full_sets(docs, written(left.select("doc_id").distinct(), "dedup-open-ids"), n)
+    # Groups of too many shingles for one task meet in pairs of blocks.
+    sized = left.join(sets.select("doc_id", (F.length("set") / 8).alias("k")), "doc_id")
+    blocks = written(sized.groupBy("gid").agg(F.sum("k").alias("k")).withColumn("blocks", F.ceil(F.col("k") / bin_shingles).cast("int")), "dedup-blocks")
+    total = blocks.agg(F.sum(F.col("k") * F.col("blocks")).alias("k")).first().k or 0
+    met = left.join(blocks.select("gid", "blocks"), "gid").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    gid = F.when(F.col("blocks") == 1, F.col("gid")).otherwise(F.xxhash64("gid", F.least("block", "other"), F.greatest("block", "other")))
+    met = met.select(gid.alias("gid"), "doc_id", "component").join(reps, "doc_id").join(sets, "doc_id")
+    more = binned(met, max(bins, int(total / bin_shingles) + 1)).applyInPandas(_tested_groups(unsure, percent), "src long, dst long")
+    rest = written(more.distinct(), "dedup-rest")
+    drop(members, first, failed, left, blocks, sets)
+    return sure.unionByName(rest)
 
 
 def _held(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -246,18 +288,24 @@ def _held(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union on the full shingle sets."""
+def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(doc_id, set) of the documents in ``ids`` (distinct); of an id's rows the one with the greatest digest counts."""
 
     def sets(batches):
         cache = Cache(word_hash)
         for batch in text_slices(batches):
-            out = [shingle_set(raw, n, cache).tobytes() for raw in raw_texts(batch)]
+            out = [shingle_set(raw, n, cache) for raw in raw_texts(batch)]
             cache.trim()
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "set": pa.array(out, pa.binary())})
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in out]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "digest": pa.array(digests, pa.binary()), "set": pa.array([s.tobytes() for s in out], pa.binary())})
 
-    ids = written(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), "dedup-ids")
-    full = written(_held(docs, ids).mapInArrow(sets, "doc_id long, set binary").groupBy("doc_id").agg(F.max("set").alias("set")), "dedup-sets")
+    found = _held(docs, ids).mapInArrow(sets, "doc_id long, digest binary, set binary").where(F.length("set") > 0)
+    return written(found.groupBy("doc_id").agg(F.max_by("set", "digest").alias("set")), "dedup-sets")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union on the full shingle sets."""
+    full = full_sets(docs, written(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), "dedup-ids"), n)
 
     def check(batches):
         for batch in batches:
@@ -277,8 +325,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     docs = doc_columns(docs)
     spark = docs.sparkSession
     rows = written(docs.mapInArrow(_described(shingle_words), "doc_id long, n long, digest binary, sig binary"), "dedup-docs")
-    first = rows.where("doc_id is not null and digest is not null").groupBy("doc_id").agg(F.max("digest").alias("digest"))
-    classes = written(first.groupBy("digest").agg(F.min("doc_id").alias("rep")), "dedup-classes")
+    first = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("digest", "n")).alias("d")).select("doc_id", "d.digest", "d.n")
+    classes = written(first.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "dedup-classes")
     reps = written(
         rows.where("doc_id is not null and digest is not null").select("doc_id", "digest", "sig").join(classes, "digest").where("doc_id = rep").groupBy("doc_id").agg(F.first("sig").alias("sig")), "dedup-reps"
     )
@@ -287,6 +335,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     components = written(connected_components(linked), "dedup-components").withColumnsRenamed({"node": "rep", "component": "joined"})
     named = classes.join(components, "rep", "left").select("digest", F.coalesce("joined", "rep").alias("component_id"))
     # A component is named by its smallest id: the smallest representative, as each is the smallest of its class.
-    out = rows.select("doc_id", "n", "digest").join(named, "digest", "left")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))
+    judged = first.join(named, "digest", "left").select("doc_id", "n", own.alias("component_id"))
+    out = rows.select("doc_id", F.col("n").alias("own_n")).join(judged, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("n", "own_n").alias("n_shingles"), "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept"))

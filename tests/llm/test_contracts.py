@@ -130,3 +130,29 @@ def test_near_large_groups(spark):
             made.append((len(made), " ".join(x)))
     table = spark.createDataFrame(made, "doc_id long, text string")
     assert rows(near_dedup.near_duplicates(table, 2, 80, small=16)) == sorted(brute.near(made, 2, 80), key=KEY)
+
+
+def test_near_misses_in_a_group():
+    """Candidates that fail are tested in their group and never listed; links between different components come out."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(7)
+    base = [rng.randrange(2**63) for _ in range(100)]
+    sets = [np.unique(np.array([x for x in base if rng.random() < 0.93] + [rng.randrange(2**63) for _ in range(4)], np.uint64)) for _ in range(120)]
+    ids = np.arange(120)
+    sig = np.stack([near_dedup.signature(s) for s in sets])
+    got = near_dedup.tested(ids, sig, sets, ids.copy(), 0.3, 80)
+    linked = [(i, j) for i in range(120) for j in range(i) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - both)]
+    assert linked and len(linked) < 120 * 119 / 2
+
+    def names(links):
+        name = list(range(120))
+        for a, b in links:
+            lo, hi = sorted((name[a], name[b]))
+            name = [lo if x == hi else x for x in name]
+        return name
+
+    assert names(got) == names(linked)
+    assert len(got) < 120
