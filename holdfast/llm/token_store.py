@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -78,8 +79,28 @@ def chunk_ends(ids: np.ndarray) -> list[int]:
     return [*ends, n]
 
 
-_BEYOND_LATIN = re.compile(r"[^\x00-\u024f]|\u0130|<\|")
-_STOP = re.compile(r"(?<=[a-zà-öø-ÿ])([,.])(?=[ \n]|\Z)")
+_BEYOND_LATIN = re.compile(r"[^\x00-\u024f]|\u0130")
+_STOP = re.compile(r"[,.](?<=[a-zà-öø-ÿ][,.])(?=[ \n]|\Z)")
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+
+
+def _plain_latin(text: str) -> bool:
+    """Whether no character is beyond the Latin blocks, and none can start a special token."""
+    if "<|" in text:
+        return False
+    try:
+        text.encode("latin-1")  # the usual case, and the quickest to see
+    except UnicodeEncodeError:
+        return not _BEYOND_LATIN.search(text)
+    return True
+
+
+def _byte_letters() -> dict[int, str]:
+    """Lower-case Latin-1 letters as the byte-level alphabet spells their UTF-8 bytes: unprintable bytes stand from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    spelt = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(spelt[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 
 
 class Encoder:
@@ -97,7 +118,18 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = id_dtype(self.tokenizer.get_vocab_size())
         self.split_words = split_words
-        self.cache = Cache(lambda w: self.whole(w), 1_200_000)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        # Whether the model alone gives what the whole tokenizer gives for a word of letters.
+        probe = ["a", "the", "zebra", "größe", "élèveñ", "çüøþÿ", "internationalisation", "xqzjvk"]
+        self.direct = split_words and all(self.by_model(w) == self.whole(w) for w in probe)
+        self.cache = Cache(self.word, 1_200_000)
+
+    def by_model(self, word: str) -> bytes:
+        """A word of lower-case Latin letters is normal already and one piece, so the library's model is asked at once."""
+        return array("H" if self.dtype == "<u2" else "I", [t.id for t in self.model.tokenize(word.translate(self.letters))]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        return self.by_model(word) if self.direct and _LETTERS.fullmatch(word) else self.whole(word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -108,8 +140,8 @@ class Encoder:
         self.cache.trim()
         # The same words with fewer spellings: where no character is beyond Latin letters, lower case is the tokenizer's own,
         # and a comma or full stop between a letter and white space is a word of its own to it.
-        if not _BEYOND_LATIN.search(text):
-            text = _STOP.sub(r" \1", text.lower())
+        if _plain_latin(text):
+            text = _STOP.sub(r" \g<0>", text.lower())
         return b"".join(map(self.cache.__getitem__, text.replace("\n", " ").split(" ")))
 
 
