@@ -22,14 +22,13 @@ import math
 import re
 import zlib
 from collections import Counter
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import Cache, doc_columns, text_slices, texts
+from holdfast.llm.common import CACHE_WORDS, Cache, doc_columns, text_slices, texts
 
 TASKS = ("junk", "toxic")
 #: Width of the hashed weights.
@@ -44,54 +43,104 @@ _ODD = re.compile(r"[^\w\s.,;:!?'\"()\[\]…«»¿¡-]")
 _ENDS = ".,;:!?'\"()"
 
 
-def _traits(token: str) -> int:
-    """Counts for one token, packed: capitals, odd characters, no letter or digit."""
-    upper = len(token) > 1 and token.isupper()
-    return upper | bool(_ODD.search(token)) << 24 | (not any(map(str.isalnum, token))) << 48
+def _plain(token: str) -> str:
+    return token.strip(_ENDS).lower()
+
+
+class Numbers(dict):
+    """Keys to 0, 1, 2, ... by first sight, with a row of values that is computed once a key."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+        self.clear()
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        self.pending.append(self.make(key))
+        return n
+
+    def rows(self) -> np.ndarray:
+        """The values, a row a key."""
+        if self.pending:
+            n = len(self)
+            if n > len(self.held):
+                more = np.zeros((max(n, 1024), len(self.pending[0])))
+                self.held = np.concatenate([self.held, more]) if len(self.held) else more
+            self.held[n - len(self.pending) : n] = self.pending
+            self.pending = []
+        return self.held
+
+    def clear(self):
+        super().clear()
+        self.pending, self.held = [], np.zeros((0, 0))
 
 
 class Reader:
-    """Texts to labellers' votes and a bag of words; what depends on a token alone is computed once a token."""
+    """Texts to labellers' votes and a bag of words; what depends on a token or word alone is computed once."""
 
-    def __init__(self, learned: dict[str, float]):
+    def __init__(self, learned: dict[str, float], slots: bool = True, most: int = 2 * CACHE_WORDS):
         self.learned = learned
-        self.traits = Cache(_traits)
-        self.plain = Cache(lambda t: t.strip(_ENDS).lower())
-        self.weight = Cache(lambda w: max(learned.get(x, 0.0) for x in (w, *stems(w))))
-
-    def read(self, text: str) -> tuple[set[str], tuple[str, str]]:
-        self.traits.trim()
-        self.plain.trim()
-        self.weight.trim()
+        self.begun = {x[: STEMS[0]] for x in learned if x.endswith("*")}  # how a word with a learned stem begins
+        self.slots = slots
+        self.most = most
+        self.tokens = Numbers(self._token)  # capitals, odd characters, no letter or digit, number of the word
+        self.words = Numbers(self._word)  # weight of evidence, insult, slot of the hashed weights
+
+    def _token(self, token: str) -> tuple:
+        core = token.strip(_ENDS)
+        upper = len(token) > 1 and token.isupper()
+        if core.isalpha():
+            return upper, False, False, self.words[core.lower()]
+        return upper, bool(_ODD.search(token)), not any(map(str.isalnum, token)), self.words[core.lower()]
+
+    def _word(self, word: str) -> tuple:
+        weight = self.learned.get(word, 0.0)
+        if word[: STEMS[0]] in self.begun:
+            weight = max(weight, *(self.learned.get(x, 0.0) for x in stems(word)), 0.0)
+        return weight, word in INSULTS, _slot(word) if self.slots else 0
+
+    def read(self, text: str) -> tuple[np.ndarray, tuple[str, str]]:
+        """The slots of the text's distinct words, and the votes on either question."""
+        if len(self.tokens) > self.most:  # both at once, as tokens name words by number
+            self.tokens.clear()
+            self.words.clear()
         tokens = text.split()
-        bag = set(map(self.plain.__getitem__, set(tokens)))
-        return bag, (pattern(self.junk_votes(text, tokens)), pattern(self.toxic_votes(tokens, bag)))
-
-    def junk_votes(self, text: str, tokens: list[str]) -> tuple[int, ...]:
+        numbers = np.fromiter(map(self.tokens.__getitem__, tokens), np.int64, len(tokens))
+        if not len(numbers):
+            return np.zeros(0, np.int64), (pattern((-1, -1, 0, -1, 0, 0, 0)), pattern(self.toxic_votes(np.zeros(0), np.zeros(0), 0, 0)))
+        traits = self.tokens.rows()[numbers]
+        said = traits[:, 3].astype(np.int64)
+        bag, times = np.unique(said, return_counts=True)
+        weight, insult, slots = self.words.rows()[bag].T
+        n_hits = int(times[(weight > 0) | (insult > 0)].sum())
+        votes = self.junk_votes(text, numbers, traits[:, :3].sum(0)), self.toxic_votes(weight, insult, n_hits, len(numbers))
+        return slots.astype(np.int64), (pattern(votes[0]), pattern(votes[1]))
+
+    def junk_votes(self, text: str, numbers: np.ndarray, traits: np.ndarray) -> tuple[int, ...]:
         """Seven labellers: emptiness, capitals, odd characters, bare symbols, stuttering, repeated triples, repeated lines."""
-        n = len(tokens)
-        if n == 0:
-            return (-1, -1, 0, -1, 0, 0, 0)
-        packed = sum(map(self.traits.__getitem__, tokens))
-        upper, odd, bare = ((packed >> at & 0xFFFFFF) / n for at in (0, 24, 48))
-        stutter = sum(map(eq, tokens, tokens[1:])) / n
-        triples = 1 - len(set(zip(tokens, tokens[1:], tokens[2:], strict=False))) / max(1, n - 2) if n >= 30 else 0.0
+        n = len(numbers)
+        upper, odd, bare = (traits / n).tolist()
+        stutter = np.count_nonzero(numbers[1:] == numbers[:-1]) / n
+        triples = 1 - self.distinct_triples(numbers) / (n - 2) if n >= 30 else 0.0
         lines = [x for x in text.split("\n") if x.strip()]
         same = 1 - len(set(lines)) / len(lines) if len(lines) >= 4 else 0.0
         return (1, *(1 if x <= good else -1 if x >= bad else 0 for x, good, bad in ((upper, 0.2, 0.5), (odd, 0.08, 0.2), (bare, 0.04, 0.1), (stutter, 0.1, 0.2), (triples, 0.15, 0.3), (same, 0.25, 0.45))))
 
-    def toxic_votes(self, tokens: list[str], bag: set[str]) -> tuple[int, ...]:
+    def distinct_triples(self, numbers: np.ndarray) -> int:
+        a, b, c = numbers[:-2], numbers[1:-1], numbers[2:]
+        if len(self.tokens) <= 1 << 21:  # three numbers in 63 bits
+            return len(np.unique(a << 42 | b << 21 | c))
+        return len(np.unique(np.stack([a, b, c]), axis=1).T)
+
+    def toxic_votes(self, weight: np.ndarray, insult: np.ndarray, n: int, of: int) -> tuple[int, ...]:
         """Four labellers: insults by list, the learned terms' weight of evidence, their number, their share of the words."""
-        seeds = bag & INSULTS
-        weights = {w: x for w in bag if (x := self.weight[w])}
-        hits = seeds | weights.keys()
-        n = sum(w in hits for w in map(self.plain.__getitem__, tokens)) if hits else 0
         known = 1 if self.learned else 0
         return (
-            -1 if seeds else 0,
-            -1 if sum(weights.values()) >= 6 else 0 if weights else known,
-            -1 if len(hits) > 1 else 1,
-            -1 if n > 1 and n >= 0.006 * len(tokens) else 0 if n > 1 else 1,
+            -1 if insult.any() else 0,
+            -1 if weight.sum() >= 6 else 0 if weight.any() else known,
+            -1 if np.count_nonzero((weight > 0) | (insult > 0)) > 1 else 1,
+            -1 if n > 1 and n >= 0.006 * of else 0 if n > 1 else 1,
         )
 
 
@@ -115,10 +164,10 @@ def learn_terms(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     joined = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most 2 * fit_rows ids
 
     def count(batches):
-        reader, of, seen = Reader({}), (Counter(), Counter()), Counter()
+        plain, of, seen = Cache(_plain), (Counter(), Counter()), Counter()
         for batch in batches:
             for text, y in zip(texts(batch), batch["toxic"].to_pylist(), strict=True):
-                of[y > 0].update({x for w in map(reader.plain.__getitem__, text.split()) for x in (w, *stems(w))})
+                of[y > 0].update({x for w in map(plain.__getitem__, text.split()) for x in (w, *stems(w))})
                 seen[y > 0] += 1
         words = list(of[1])  # a word in no toxic document can't be learned
         yield pa.RecordBatch.from_pydict({"word": pa.array(["", *words], pa.string()), "toxic": pa.array([seen[True], *(of[1][w] for w in words)], pa.int64()), "clean": pa.array([seen[False], *(of[0][w] for w in words)], pa.int64())})
@@ -174,11 +223,14 @@ def _slot(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % DIM
 
 
-def _features(task: int, words: set[str], votes: str) -> tuple[list[int], list[float]]:
-    """Hashed features: distinct words of a length-normalised bag, and the labellers' votes."""
+def _features(task: int, words: list[int], votes: str) -> tuple[list[int], list[float]]:
+    """Hashed features: slots of the distinct words of a length-normalised bag, and the labellers' votes."""
     scale = 1 / math.sqrt(max(1, len(words)))
-    slots = [_slot(w) for w in words] + [_slot(f"\x00{task}:{i}{v}") for i, v in enumerate(votes)]
-    return slots, [scale] * len(words) + [1.0] * len(votes)
+    return words + _vote_slots(task, votes), [scale] * len(words) + [1.0] * len(votes)
+
+
+def _vote_slots(task: int, votes: str) -> list[int]:
+    return [_slot(f"\x00{task}:{i}{v}") for i, v in enumerate(votes)]
 
 
 def train_scorer(examples: list[tuple[list[int], list[float], float]], epochs: int = 60, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -208,7 +260,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = F
     learned = learn_terms(docs, labels, fit_rows) if labels is not None else {}
 
     def vote(batches):
-        reader = Reader(learned)
+        reader = Reader(learned, slots=False)
         for batch in text_slices(batches):
             found = [reader.read(t)[1] for t in texts(batch)]
             yield pa.RecordBatch.from_pydict({"junk": pa.array([f[0] for f in found], pa.string()), "toxic": pa.array([f[1] for f in found], pa.string())})
@@ -229,7 +281,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = F
             for text in texts(batch):
                 bag, pats = reader.read(text)
                 for task in range(len(TASKS)):
-                    slots, vals = _features(task, bag, pats[task])
+                    slots, vals = _features(task, bag.tolist(), pats[task])
                     for name, x in zip(out, (task, slots, vals, posterior[task].get(pats[task], 0.0)), strict=True):
                         out[name].append(x)
             yield pa.RecordBatch.from_pydict({"task": pa.array(out["task"], pa.int32()), "slots": pa.array(out["slots"], pa.list_(pa.int32())), "vals": pa.array(out["vals"], pa.list_(pa.float32())), "y": pa.array(out["y"], pa.float64())})
@@ -243,13 +295,14 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = F
     # Every vote pattern is an example too, so that rare ones are learned.
     for task in range(len(TASKS)):
         for pat, y in posterior[task].items():
-            examples[task].append((*_features(task, set(), pat), y))
+            examples[task].append((*_features(task, [], pat), y))
     models = [train_scorer(e) for e in examples]
     packed = [(w.astype(np.float32), b) for w, b in models]
 
     def score(batches):
-        weights = [w for w, _ in packed]
-        caches = [Cache(lambda word, w=w: float(w[_slot(word)])) for w in weights]
+        weights = [w.astype(np.float64) for w, _ in packed]
+        # Bias and votes of a pattern, at most 3^labellers of them.
+        given = [Cache(lambda pat, t=t: packed[t][1] + float(weights[t][_vote_slots(t, pat)].sum())) for t in range(len(TASKS))]
         reader = Reader(learned)
         for batch in text_slices(batches):
             columns: dict[str, list] = {"p_junk": [], "p_toxic": [], "posterior_junk": [], "posterior_toxic": []}
@@ -257,10 +310,9 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = F
                 bag, pats = reader.read(text)
                 scale = 1 / math.sqrt(max(1, len(bag)))
                 for task, name in enumerate(TASKS):
-                    z = packed[task][1] + scale * sum(map(caches[task].__getitem__, bag)) + sum(float(weights[task][_slot(f"\x00{task}:{i}{v}")]) for i, v in enumerate(pats[task]))
+                    z = given[task][pats[task]] + scale * float(weights[task][bag].sum())
                     columns[f"p_{name}"].append(1 / (1 + math.exp(-max(-50.0, min(50.0, z)))))
                     columns[f"posterior_{name}"].append(posterior[task].get(pats[task], 0.0))
-                    caches[task].trim()
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"]} | {k: pa.array(v, pa.float64()) for k, v in columns.items()} | {"keep": pa.array([max(x) < threshold for x in zip(columns["p_junk"], columns["p_toxic"], strict=True)], pa.bool_())})
 
     return docs.mapInArrow(score, "doc_id long, p_junk double, p_toxic double, posterior_junk double, posterior_toxic double, keep boolean")
