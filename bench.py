@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
 
-HEADLINE = ["asof_nearest", "cascade_lookup", "split_overlap", "random_split", "group_split", "leakage_injection", "connected_components", "near_hash_pairs", "auroc", "roc_points", "calibration_error", "paired_bootstrap", "component_split_exact", "duplicate_groups"]
+HEADLINE = ["asof_nearest_all", "cascade_lookup", "split_overlap", "random_split", "group_split", "leakage_injection", "connected_components", "near_hash_pairs", "auroc", "roc_points", "calibration_error", "paired_bootstrap", "component_split_exact", "duplicate_groups"]
 
 
 def main() -> None:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from holdfast.functions.rules import hamming
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, left_day: str, right_day: str, order: str, tolerance: int, values: list[str]) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, left_day: str, right_day: str, order: str, tolerance: int, values: list[str], others: bool = False) -> DataFrame:
     """As-of left join in both directions: of the same key, the row at the least distance in days; ties go to the earlier
-    day, then to the lower ``order``; no match beyond ``tolerance`` days. ``left_id`` is unique.
+    day, then to the lower ``order``; no match beyond ``tolerance`` days. ``left_id`` is unique. With ``others``, both
+    sides are one table with ``order`` as its id, and a row never matches itself.
 
     One aggregate per left row after the equi-join, so candidates are reduced before any further shuffle.
     """
@@ -21,7 +22,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, left_day:
     best = (
         left.select(key, left_id, left_day)
         .join(r, key)
-        .where(gap <= tolerance)
+        .where((gap <= tolerance) & (F.col(left_id) != F.col("_order")) if others else gap <= tolerance)
         .groupBy(left_id)
         .agg(F.min_by(F.struct("_day", gap.alias("_gap"), "_values"), F.struct(gap, F.col("_day"), F.col("_order"))).alias("_best"))
     )

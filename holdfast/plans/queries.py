@@ -111,6 +111,13 @@ def asof_nearest(spark, d):
     return joins.nearest(left, right, "subject_id", "image_id", "acq_date", "examdate", "ord", 180, ["code"]).drop("acq_date")
 
 
+@query(_with("scans") + ", c as (select s.image_id, o.acq_date as examdate, abs(date_diff('day', s.acq_date, o.acq_date)) as gap, o.stratum as code, row_number() over (partition by s.image_id order by abs(date_diff('day', s.acq_date, o.acq_date)), o.acq_date, o.image_id) as r from scans s join scans o on o.subject_id = s.subject_id and o.image_id <> s.image_id) select s.image_id, s.subject_id, c.examdate as matched_day, c.gap::int as gap_days, c.code from scans s left join c on c.image_id = s.image_id and c.r = 1 and c.gap <= 180")
+def asof_nearest_all(spark, d):
+    s = scans(spark, d)
+    right = s.select("subject_id", F.col("acq_date").alias("examdate"), F.col("stratum").alias("code"), F.col("image_id").alias("ord"))
+    return joins.nearest(s.select("image_id", "subject_id", "acq_date"), right, "subject_id", "image_id", "acq_date", "examdate", "ord", 180, ["code"], others=True).drop("acq_date")
+
+
 @query("select o.o_orderkey as image_id, coalesce(c.c_mktsegment, n.n_name, 'x') as dx, case when c.c_mktsegment is not null then 'subject' when n.n_name is not null then 'nation' else 'none' end as dx_source from orders o left join (select c_custkey, c_mktsegment from customer where c_acctbal > 0) c on c.c_custkey = o.o_custkey left join (select c2.c_custkey, n.n_name from customer c2 join nation n on n.n_nationkey = c2.c_nationkey) n on n.c_custkey = o.o_custkey")
 def cascade_lookup(spark, d):
     c, n = table(spark, d, "customer"), table(spark, d, "nation")

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 from holdfast.plans.queries import ORACLE, QUERIES
 
-FLAGSHIP = "asof_nearest"
+FLAGSHIP = "asof_nearest_all"
 
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
