@@ -97,35 +97,61 @@ def interval(means: DataFrame, by: list[str], value: str = "mean", level: float
     return means.groupBy(*by).agg(F.avg(value).alias("point"), F.percentile(value, F.lit(a)).alias("low"), F.percentile(value, F.lit(1 - a)).alias("high"))
 
 
-def hierarchical_auroc(rows: DataFrame, resamples: int, seed: int, outer: str = "seed", inner: str = "subject_id", y: str = "y_true", p: str = "y_prob") -> DataFrame:
-    """AUROC of two-level resamples: outer units, then subjects inside, as integer weights; (b, auroc)."""
-    subjects = rows.select(outer, inner).distinct()
-    placed = subjects.withColumn("i", F.row_number().over(Window.partitionBy(outer).orderBy(inner)) - 1).withColumn("n", F.count("*").over(Window.partitionBy(outer)))
-    outers = subjects.select(outer).distinct()
-    ordered = outers.withColumn("o", F.row_number().over(Window.orderBy(outer)) - 1)  # few outer units
-    size = ordered.agg(F.count("*").alias("m"))
-    picks = ordered.crossJoin(F.broadcast(size)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    drawn = picks.withColumn("o2", draw(seed, F.col("b"), F.col("o"), F.col("m"))).select("b", F.col("o").alias("slot"), "o2").join(ordered.withColumnRenamed("o", "o2"), "o2")
-    inner_draws = drawn.join(placed.groupBy(outer).agg(F.max("n").alias("n")), outer).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    inner_draws = inner_draws.withColumn("i", draw(seed + 1, F.col("b") * 1000 + F.col("slot"), F.col("k"), F.col("n")).cast("int"))
-    weights = inner_draws.groupBy("b", outer, "i").agg(F.count("*").alias("w")).join(placed.drop("n"), [outer, "i"])
-    weighted = weights.join(rows.select(outer, inner, y, p), [outer, inner]).groupBy("b", p).agg(F.sum(F.col("w") * F.col(y)).alias("pos"), F.sum(F.col("w") * (1 - F.col(y))).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("b").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = weighted.withColumn("below", below).groupBy("b").agg(F.sum(F.col("pos") * (F.col("below") * 2 + F.col("neg"))).alias("w2"), (F.sum("pos") * F.sum("neg")).alias("pairs"))
-    return sums.select("b", F.when(F.col("pairs") > 0, F.col("w2") / (F.col("pairs") * 2.0)).alias("auroc"))
-
-
-def mean_roc(points: DataFrame, set_col: str, steps: int = 200) -> DataFrame:
-    """Mean over prediction sets of the ROC interpolated on an even grid: at each x the highest point counts."""
-    xy = points.groupBy(set_col, (1 - F.col("specificity")).alias("x")).agg(F.max("sensitivity").alias("yv"))
-    w = Window.partitionBy(set_col).orderBy("x")
+def subject_wins(rows: DataFrame, by: list[str], inner: str, y: str = "y_true", p: str = "y_prob") -> DataFrame:
+    """One row per prediction set: ``pos`` and ``neg`` of each inner unit, in its order, and ``wins``, twice the wins of the
+    positives of one unit (row) over the negatives of another (column), ties as half a win.
+
+    Any resample of the units has its AUROC from these sums, without a look at rows or scores.
+    """
+    cells = rows.groupBy(*by, inner, p).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
+    w = Window.partitionBy(*by).orderBy(inner)
+    units = cells.groupBy(*by, inner).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).withColumn("i", F.row_number().over(w) - 1)
+    placed = cells.join(units.select(*by, inner, "i"), [*by, inner])
+    left = placed.where("pos > 0").select(*by, F.col("i").alias("u"), p, "pos")
+    # Each unit's negatives, counted up to every score that some positive has.
+    asked = left.select(*by, p).distinct().join(units.select(*by, F.col("i").alias("v")), by).withColumn("neg", F.lit(0).cast("long"))
+    counts = asked.unionByName(placed.where("neg > 0").select(*by, p, F.col("i").alias("v"), "neg")).groupBy(*by, "v", p).agg(F.sum("neg").alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by, "v").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pairs = left.join(counts.withColumn("below", below), [*by, p]).groupBy(*by, "u", "v").agg(F.sum(F.col("pos") * (F.col("below") * 2 + F.col("neg"))).alias("x"))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c))), lambda s: s[c])
+    sums = units.groupBy(*by).agg(listed("p").alias("pos"), listed("n").alias("neg"))
+    grid = units.select(*by, F.col("i").alias("u")).join(units.select(*by, F.col("i").alias("v")), by).join(pairs, [*by, "u", "v"], "left")
+    lines = grid.groupBy(*by, "u").agg(F.transform(F.array_sort(F.collect_list(F.struct("v", F.coalesce("x", F.lit(0)).alias("x")))), lambda s: s["x"]).alias("line"))
+    wins = lines.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("u", "line"))), lambda s: s["line"]).alias("wins"))
+    return sums.join(wins, by)
+
+
+def hierarchical_auroc(rows: DataFrame, by: list[str], seed: int, resamples: int = 10_000, outer: str = "seed", inner: str = "subject_id", y: str = "y_true", p: str = "y_prob") -> DataFrame:
+    """(by, b, auroc) of two-level resamples: outer units are drawn, then subjects inside each of them; the AUROCs of the
+    drawn units are averaged, without those of one class alone. All groups share the outer draws; subjects are drawn
+    for each group anew. An outer unit that a group lacks counts as one of one class alone.
+    """
+    sets = subject_wins(rows, [*by, outer], inner, y, p)
+    units = sets.select(outer).distinct()
+    ordered = units.withColumn("o", F.row_number().over(Window.orderBy(outer)) - 1)  # few outer units
+    m = F.broadcast(ordered.agg(F.count("*").alias("m")))
+    slots = rows.sparkSession.range(resamples).withColumnRenamed("id", "b").crossJoin(m).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    drawn = slots.withColumn("o", draw(seed, F.col("b"), F.col("slot"), F.col("m"))).join(F.broadcast(ordered), "o").join(F.broadcast(sets), outer)
+    n = F.size("pos")
+    key = F.concat_ws(":", F.col("b").cast("string"), F.col("slot").cast("string"), *[F.col(c).cast("string") for c in by])
+    picked = drawn.select(*by, "b", "pos", "neg", "wins", F.transform(F.sequence(F.lit(0), n - 1), lambda k: draw(seed + 1, key, k, n).cast("int")).alias("i"))
+    total = lambda c: F.aggregate("i", F.lit(0).cast("long"), lambda a, i: a + F.get(c, i))
+    twice = F.aggregate("i", F.lit(0).cast("long"), lambda a, u: a + F.aggregate("i", F.lit(0).cast("long"), lambda x, v: x + F.get(F.get("wins", u), v)))
+    sums = picked.select(*by, "b", twice.alias("w2"), (total("pos") * total("neg")).alias("pairs"))
+    return sums.groupBy(*by, "b").agg(F.avg(F.when(F.col("pairs") > 0, F.col("w2") / (F.col("pairs") * 2.0))).alias("auroc"))
+
+
+def mean_roc(points: DataFrame, by: list[str], set_col: str, steps: int = 200) -> DataFrame:
+    """Mean over a group's prediction sets of the ROC interpolated on an even grid: at each x the highest point counts."""
+    xy = points.groupBy(*by, set_col, (1 - F.col("specificity")).alias("x")).agg(F.max("sensitivity").alias("yv"))
+    w = Window.partitionBy(*by, set_col).orderBy("x")
     spans = xy.withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("yv").over(w))
     first = F.ceil(F.round(F.col("x") * (steps - 1), 9)).cast("int")
     last = F.when(F.col("x2").isNull(), F.lit(steps - 1)).otherwise(F.ceil(F.round(F.col("x2") * (steps - 1), 9)).cast("int") - 1)
     cells = spans.where(first <= last).withColumn("g", F.explode(F.sequence(first, last)))
     gx = F.col("g") / F.lit(float(steps - 1))
     value = F.when(F.col("x2").isNull() | (gx <= F.col("x")), F.col("yv")).otherwise(F.col("yv") + (F.col("y2") - F.col("yv")) * (gx - F.col("x")) / (F.col("x2") - F.col("x")))
-    return cells.groupBy("g").agg(F.avg(value).alias("tpr"))
+    return cells.groupBy(*by, "g").agg(F.avg(value).alias("tpr"))
 
 
 def per_thousand(rates: DataFrame, prevalences: list[float], specificity: float = 0.9) -> DataFrame:

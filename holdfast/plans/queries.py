@@ -480,7 +480,7 @@ def paired_gap(spark, d):
 
 @query()
 def hierarchical_bootstrap(spark, d):
-    return metrics.hierarchical_auroc(predictions(spark, d).where("protocol = 0"), 100, 13)
+    return metrics.hierarchical_auroc(predictions(spark, d), ["protocol"], 13)
 
 
 @query(_with("preds") + "select protocol, round(regr_slope(y_prob, seed), 9) as slope, round(regr_intercept(y_prob, seed), 9) as intercept, round(regr_r2(y_prob, seed), 9) as r2 from preds group by 1")
@@ -502,7 +502,7 @@ def cost_per_thousand(spark, d):
 
 @query()
 def mean_roc(spark, d):
-    return metrics.mean_roc(_points(spark, d).where("protocol = 0"), "seed").withColumn("tpr", F.round("tpr", 9))
+    return metrics.mean_roc(_points(spark, d), ["protocol"], "seed").withColumn("tpr", F.round("tpr", 9))
 
 
 @query()

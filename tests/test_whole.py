@@ -1,5 +1,11 @@
 """Queries that must cover whole tables, and metrics against brute force."""
 
+import hashlib
+
+import numpy as np
+import pytest
+
+from holdfast.operators import metrics
 from holdfast.plans.registry import FLAGSHIP, QUERIES
 
 
@@ -15,3 +21,51 @@ def test_flagship_covers_every_scan(spark, sf):
         near = min(((abs((o.o_orderdate.date() - day).days), o.o_orderdate.date(), o.o_orderkey, o.o_orderpriority) for o in of[r.subject_id] if o.o_orderkey != r.image_id), default=None)
         want = (near[1], near[0], near[3]) if near and near[0] <= 180 else (None, None, None)
         assert (r.matched_day, r.gap_days, r.code) == want
+
+
+def test_hierarchical_auroc_by_hand(spark):
+    def drawn(seed, b, k, n):
+        return int(hashlib.sha1(f"{seed}:{b}:{k}".encode()).hexdigest()[:12], 16) % n
+
+    rows = [(proto, seed, f"s{(i * 7 + seed) % 5}", int((i * 11 + proto + seed) % 3 == 0), (i * 37 + proto * 5 + seed * 3) % 10 / 10.0) for proto in range(3) for seed in range(4) for i in range(17)]
+    rows += [(1, 4, "s0", 0, 0.5), (1, 4, "s1", 0, 0.1)]  # one class alone, and missing from two protocols
+    table = spark.createDataFrame(rows, "protocol long, seed long, subject_id string, y_true long, y_prob double")
+    got = {(r.protocol, r.b): r.auroc for r in metrics.hierarchical_auroc(table, ["protocol"], 13, resamples=40).collect()}
+    seeds, sets, want = sorted({r[1] for r in rows}), {}, {}
+    for proto, seed, subject, y, q in rows:
+        sets.setdefault((proto, seed), {}).setdefault(subject, []).append((y, q))
+    for b in range(40):
+        for proto in range(3):
+            values = []
+            for slot in range(len(seeds)):
+                held = sets.get((proto, seeds[drawn(13, b, slot, len(seeds))]))
+                if not held:
+                    continue
+                names = sorted(held)
+                took = [x for k in range(len(names)) for x in held[names[drawn(14, f"{b}:{slot}:{proto}", k, len(names))]]]
+                pos, neg = [q for y, q in took if y], [q for y, q in took if not y]
+                if pos and neg:
+                    values.append(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)))
+            want[proto, b] = sum(values) / len(values) if values else None
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_mean_roc_by_hand(spark):
+    rows = [(i, proto, seed, int((i * 11 + proto + seed) % 3 == 0), (i * 37 + proto * 5 + seed * 3) % 10 / 10.0) for proto in range(3) for seed in range(2) for i in range(17)]
+    points = metrics.roc_points(spark.createDataFrame(rows, "doc_id long, protocol long, seed long, y_true long, y_prob double"), ["seed", "protocol"], "doc_id")
+    got = {(r.protocol, r.g): r.tpr for r in metrics.mean_roc(points, ["protocol"], "seed", steps=21).collect()}
+    curves = {}
+    for r in points.collect():
+        curve = curves.setdefault((r.protocol, r.seed), {})
+        curve[round(1 - r.specificity, 12)] = max(r.sensitivity, curve.get(round(1 - r.specificity, 12), 0.0))
+    assert sorted(got) == [(proto, g) for proto in range(3) for g in range(21)]
+    for (proto, g), tpr in got.items():
+        values = [np.interp(g / 20, sorted(c), [c[x] for x in sorted(c)]) for (p, _), c in curves.items() if p == proto]
+        assert tpr == pytest.approx(np.mean(values), abs=1e-9)
+
+
+def test_registered_resamples_are_whole(spark, sf):
+    got = QUERIES["hierarchical_bootstrap"](spark, sf).groupBy("protocol").count().collect()
+    assert {r.protocol: r["count"] for r in got} == {0: 10_000, 1: 10_000, 2: 10_000}
+    assert {r.protocol for r in QUERIES["mean_roc"](spark, sf).select("protocol").distinct().collect()} == {0, 1, 2}
