@@ -6,6 +6,8 @@ return the columns of the documents.
 
 Defined cases are those of the operators. A document stays only with a non-null
 id; of a group of near-duplicates the one with the smallest id stays, once.
+The classifier and decontamination judge each row by its own text, also where
+rows share an id.
 """
 
 from __future__ import annotations
@@ -18,26 +20,22 @@ from holdfast.llm.queries import tokenizer_path
 from holdfast.scratch import written
 
 
-def _dropped(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``ids``: those are few beside the rest, so they are what is moved."""
-    return docs.join(written(ids.distinct(), "pipeline-gone"), "doc_id", "left_anti").select(*docs.columns)
-
-
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _dropped(docs, scored.where(~F.col("keep")).select("doc_id"))
+    return quality.kept_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("doc_id is not null")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
-    return _dropped(docs, near_dedup.near_duplicates(docs, shingle_words=5, percent=80).where(~F.col("kept")).select("doc_id"))
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more), in one row."""
+    gone = near_dedup.near_duplicates(docs, shingle_words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
+    # Those ids are few beside the rest, so they are what is moved.
+    left = docs.join(written(gone, "pipeline-gone"), "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.one_row(left, shingle_words=5)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _dropped(docs, found.select("doc_id"))
+    return decontamination.clean_rows(docs.where("doc_id is not null"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

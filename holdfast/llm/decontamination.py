@@ -187,56 +187,85 @@ class _Lengths(dict):
         return value
 
 
+class Searcher:
+    """Finds an index's verified items in documents; one per task."""
+
+    def __init__(self, index: Index, overlap: float):
+        self.index, self.least = index, overlap
+        self.normal = Cache(lambda w: tuple(words_of(w)))
+        self.single = Cache(lambda w: index.needed.isdisjoint(words_of(w)))
+
+    def trim(self) -> None:
+        self.normal.trim()
+        self.single.trim()
+
+    def find(self, text: str) -> list[tuple[int, float]]:
+        """(item id, overlap) of each item verified in a document."""
+        index, out = self.index, []
+        half, needed = max(1, index.longest), index.needed
+        raw = text.split()
+        if all(map(self.single.__getitem__, raw)):
+            return out
+        words = [x for w in raw for x in self.normal[w]]
+        held = lengths = None
+        seen: set[int] = set()
+        places = [i for i, w in enumerate(words) if w in needed]
+        at = 0
+        for start in range(0, max(1, len(words) - half), half):
+            while at < len(places) and places[at] < start:
+                at += 1
+            if at == len(places):
+                break
+            if places[at] >= start + 2 * half:
+                continue
+            terms = set(words[start : start + 2 * half])
+            for n in index.retrieve(terms) if index.hopeful(terms) else ():
+                if n in seen:
+                    continue
+                seen.add(n)
+                if held is None:
+                    held, lengths = shingles(words), _Lengths(words)
+                share, each = index.overlap(n, held, lengths)
+                if each and share >= self.least:
+                    out.append((index.ids[n], share))
+        return out
+
+
 def _search(sent, overlap: float):
     """``sent``: the broadcast index."""
 
     def run(batches):
-        index = sent.value
-        half, needed = max(1, index.longest), index.needed
-        normal = Cache(lambda w: tuple(words_of(w)))
-        single = Cache(lambda w: needed.isdisjoint(words_of(w)))
+        searcher = Searcher(sent.value, overlap)
         for batch in text_slices(batches):
             ids, items, scores = [], [], []
             for doc, text in zip(batch["doc_id"].to_pylist(), texts(batch), strict=True):
-                raw = text.split()
-                if all(map(single.__getitem__, raw)):
-                    continue
-                words = [x for w in raw for x in normal[w]]
-                held = lengths = None
-                seen: set[int] = set()
-                places = [i for i, w in enumerate(words) if w in needed]
-                at = 0
-                for start in range(0, max(1, len(words) - half), half):
-                    while at < len(places) and places[at] < start:
-                        at += 1
-                    if at == len(places):
-                        break
-                    if places[at] >= start + 2 * half:
-                        continue
-                    terms = set(words[start : start + 2 * half])
-                    for n in index.retrieve(terms) if index.hopeful(terms) else ():
-                        if n in seen:
-                            continue
-                        seen.add(n)
-                        if held is None:
-                            held, lengths = shingles(words), _Lengths(words)
-                        share, each = index.overlap(n, held, lengths)
-                        if each and share >= overlap:
-                            ids.append(doc)
-                            items.append(index.ids[n])
-                            scores.append(share)
-                normal.trim()
-                single.trim()
+                for item, share in searcher.find(text):
+                    ids.append(doc)
+                    items.append(item)
+                    scores.append(share)
+            searcher.trim()
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "item_id": pa.array(items, pa.int64()), "overlap": pa.array(scores, pa.float64())})
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.6, overlap: float = 0.8, max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
-    """(doc_id, item_id, overlap): every document with every test item verified in it."""
-    docs = doc_columns(docs)
+def _without(sent, overlap: float):
+    """Rows in which nothing is found."""
+
+    def run(batches):
+        searcher = Searcher(sent.value, overlap)
+        for batch in text_slices(batches):
+            clean = [not searcher.find(text) for text in texts(batch)]
+            searcher.trim()
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
+def _indexes(benchmark: DataFrame, ratio: float, max_index_words: int) -> list:
+    """Broadcast indexes of the benchmark's parts."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
-    found, part, words = None, [], 0
+    part, words = [], 0
     parts: list[list[tuple[int, str]]] = []
     for r in items.orderBy("item_id", "text").toLocalIterator():
         n = len(words_of(r.text))
@@ -245,12 +274,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.6, over
             part, words = [], 0
         part.append((r.item_id, r.text))
         words += n
-    for part in [*parts, part]:
-        hits = docs.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(Index(part, ratio)), overlap), "doc_id long, item_id long, overlap double")
+    return [benchmark.sparkSession.sparkContext.broadcast(Index(part, ratio)) for part in [*parts, part]]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.6, overlap: float = 0.8, max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
+    """(doc_id, item_id, overlap): every document with every test item verified in it."""
+    docs, found = doc_columns(docs), None
+    for sent in _indexes(benchmark, ratio, max_index_words):
+        hits = docs.mapInArrow(_search(sent, overlap), "doc_id long, item_id long, overlap double")
         found = hits if found is None else found.unionByName(hits)
     return found
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.6, overlap: float = 0.8, max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
+    """Rows of ``docs`` in whose own text no test item is verified."""
+    for sent in _indexes(benchmark, ratio, max_index_words):
+        docs = docs.mapInArrow(_without(sent, overlap), docs.schema)
+    return docs
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row per document id: n_items found, their ids, the largest overlap, and ``contaminated``."""
     hits = contaminated(docs, benchmark, **options).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("overlap").alias("max_overlap")).withColumnRenamed("doc_id", "hit_id")

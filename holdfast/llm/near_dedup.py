@@ -38,6 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from holdfast.llm.common import Cache, doc_columns, raw_texts, text_slices
 from holdfast.operators.components import connected_components
@@ -320,6 +321,32 @@ def confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
     return pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long")
 
 
+def one_row(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
+    """Rows of ``docs`` with one row per id, null ids left out: of an id's rows the one whose set stands for it in
+    near_duplicates(), the greatest digest; of equal ones the one that sorts last."""
+    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "dedup-repeated")
+    docs = docs.where("doc_id is not null")
+    few = repeated.limit(IDS_IN_MEMORY + 1).count()
+    if not few:
+        return docs
+    ids = F.broadcast(repeated) if few <= IDS_IN_MEMORY else repeated
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+
+    def digests(batches):
+        cache = Cache(word_hash)
+        for batch in text_slices(batches):
+            sets = [shingle_set(raw, shingle_words, cache) for raw in raw_texts(batch)]
+            cache.trim()
+            found = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "_digest"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_digest", T.BinaryType())])
+    judged = docs.join(ids, "doc_id", "left_semi").select(*docs.columns).mapInArrow(digests, schema)
+    order = F.struct("_digest", "text", F.to_json(F.struct(*rest)) if rest else F.lit(""))
+    best = judged.groupBy("doc_id").agg(F.max_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(best)
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, trees: int = TREES, small: int = SMALL) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = doc_columns(docs)

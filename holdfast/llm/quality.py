@@ -254,8 +254,8 @@ def train_scorer(examples: list[tuple[list[int], list[float], float]], epochs: i
     return w, bias
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
-    """One row per document: p_junk, p_toxic, posterior_junk, posterior_toxic and ``keep`` (both scores below the threshold)."""
+def _fitted(docs: DataFrame, labels: DataFrame | None, fit_rows: int, threshold: float):
+    """Fits the models on ``docs``; gives a function that a task calls once, for a function from a batch to its columns."""
     docs = doc_columns(docs)
     learned = learn_terms(docs, labels, fit_rows) if labels is not None else {}
 
@@ -299,12 +299,13 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = F
     models = [train_scorer(e) for e in examples]
     packed = [(w.astype(np.float32), b) for w, b in models]
 
-    def score(batches):
+    def scorer():
         weights = [w.astype(np.float64) for w, _ in packed]
         # Bias and votes of a pattern, at most 3^labellers of them.
         given = [Cache(lambda pat, t=t: packed[t][1] + float(weights[t][_vote_slots(t, pat)].sum())) for t in range(len(TASKS))]
         reader = Reader(learned)
-        for batch in text_slices(batches):
+
+        def score(batch):
             columns: dict[str, list] = {"p_junk": [], "p_toxic": [], "posterior_junk": [], "posterior_toxic": []}
             for text in texts(batch):
                 bag, pats = reader.read(text)
@@ -313,6 +314,33 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = F
                     z = given[task][pats[task]] + scale * float(weights[task][bag].sum())
                     columns[f"p_{name}"].append(1 / (1 + math.exp(-max(-50.0, min(50.0, z)))))
                     columns[f"posterior_{name}"].append(posterior[task].get(pats[task], 0.0))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"]} | {k: pa.array(v, pa.float64()) for k, v in columns.items()} | {"keep": pa.array([max(x) < threshold for x in zip(columns["p_junk"], columns["p_toxic"], strict=True)], pa.bool_())})
+            return {k: pa.array(v, pa.float64()) for k, v in columns.items()} | {"keep": pa.array([max(x) < threshold for x in zip(columns["p_junk"], columns["p_toxic"], strict=True)], pa.bool_())}
+
+        return score
+
+    return scorer
+
+
+def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
+    """One row per document: p_junk, p_toxic, posterior_junk, posterior_toxic and ``keep`` (both scores below the threshold)."""
+    docs = doc_columns(docs)
+    scorer = _fitted(docs, labels, fit_rows, threshold)
+
+    def run(batches):
+        score = scorer()
+        for batch in text_slices(batches):
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"]} | score(batch))
+
+    return docs.mapInArrow(run, "doc_id long, p_junk double, p_toxic double, posterior_junk double, posterior_toxic double, keep boolean")
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame | None = None, fit_rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` that classify() keeps, each by its own text."""
+    scorer = _fitted(docs, labels, fit_rows, threshold)
+
+    def run(batches):
+        score = scorer()
+        for batch in text_slices(batches):
+            yield batch.filter(score(batch)["keep"])
 
-    return docs.mapInArrow(score, "doc_id long, p_junk double, p_toxic double, posterior_junk double, posterior_toxic double, keep boolean")
+    return docs.mapInArrow(run, docs.schema)
