@@ -1,10 +1,11 @@
-"""Benchmark decontamination: a BM25 index of test items, queried by every training passage.
+"""Benchmark decontamination: a BM25 index of test items, queried by every training document.
 
 The index holds the items' terms, with postings sorted by item and cut into
-blocks, each with its largest score. A document is cut into overlapping
-passages twice as long as the longest item, so that some passage holds every
-possible copy whole. A passage's distinct terms query the index by block-max
-WAND: cursors walk the postings, and an item is scored only if the block
+blocks, each with its largest score. A document of up to
+twice the words of the longest item queries the index as one passage, by
+block-max WAND; a longer one queries it by all its terms at once, so that an
+item is found also where its parts lie far apart. In the walk, cursors pass
+over the postings, and an item is scored only if the block
 maxima of the cursors at or before it reach the threshold of its block, which
 is ``ratio`` times the least score that an item of the block has against
 itself. Every item at or over its own threshold is retrieved; there is no
@@ -109,6 +110,7 @@ class Index:
         # More of them, down to a quarter of the weight: what is left of the threshold must come from these.
         self.essential: dict[str, list[tuple[int, float]]] = defaultdict(list)
         self.lack = [math.inf] * len(items)
+        self.weights: list[dict[str, float]] = []
         for n, bag in enumerate(bags):
             rest, weight = own[n], {t: next(s for m, s in self.postings[t] if m == n) for t in bag}
             for t in sorted(bag, key=lambda t: (df[t], t)):
@@ -116,6 +118,7 @@ class Index:
                     break
                 self.essential[t].append((n, weight[t]))
                 rest -= weight[t]
+            self.weights.append(weight)
             self.lack[n] = self.threshold[n] - rest - 1e-9
 
     def hopeful(self, terms: set[str]) -> bool:
@@ -128,6 +131,15 @@ class Index:
                     return True
         return False
 
+    def whole(self, terms: set[str]) -> list[int]:
+        """Numbers of all items whose score reaches their threshold, as retrieve() gives them: for the many terms of a long document."""
+        got: dict[int, float] = {}
+        for t in terms & self.essential.keys():
+            for n, s in self.essential[t]:
+                got[n] = got.get(n, 0.0) + s
+        likely = [n for n, x in got.items() if x >= self.lack[n]]
+        return [n for n in likely if sum(s for t, s in self.weights[n].items() if t in terms) >= self.threshold[n] - 1e-9]
+
     def retrieve(self, terms: set[str]) -> list[int]:
         """Numbers of all items whose score reaches their threshold, by block-max WAND."""
         cursors = [[self.numbers[t][0], 0, t] for t in terms if t in self.numbers]
@@ -208,26 +220,21 @@ class Searcher:
             return out
         words = [x for w in raw for x in self.normal[w]]
         held = lengths = None
-        seen: set[int] = set()
-        places = [i for i, w in enumerate(words) if w in needed]
-        at = 0
-        for start in range(0, max(1, len(words) - half), half):
-            while at < len(places) and places[at] < start:
-                at += 1
-            if at == len(places):
-                break
-            if places[at] >= start + 2 * half:
-                continue
-            terms = set(words[start : start + 2 * half])
-            for n in index.retrieve(terms) if index.hopeful(terms) else ():
-                if n in seen:
-                    continue
-                seen.add(n)
-                if held is None:
-                    held, lengths = shingles(words), _Lengths(words)
-                share, each = index.overlap(n, held, lengths)
-                if each and share >= self.least:
-                    out.append((index.ids[n], share))
+        terms = set(words)
+        if needed.isdisjoint(terms):
+            return out
+        # A document of one passage is queried by it. A longer one by all its terms at once: whatever one of its passages
+        # finds is among that, and also an item whose parts lie more than a passage apart.
+        if len(words) <= 2 * half:
+            numbers = index.retrieve(terms) if index.hopeful(terms) else ()
+        else:
+            numbers = index.whole(terms)
+        for n in numbers:
+            if held is None:
+                held, lengths = shingles(words), _Lengths(words)
+            share, each = index.overlap(n, held, lengths)
+            if each and share >= self.least:
+                out.append((index.ids[n], share))
         return out
 
 
