@@ -22,7 +22,8 @@ shingle; repeated rows get equal results; an empty benchmark finds nothing; an
 empty table gives an empty table; other columns are ignored.
 
 The index is a broadcast; ``max_index_words`` bounds it, and a larger benchmark
-is cut into parts of that size, each queried in turn.
+is cut into parts of that size, each queried in turn. Scores and passages come
+from the whole benchmark's statistics, so the parts do not change the result.
 """
 
 from __future__ import annotations
@@ -67,19 +68,36 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
 
 
+class Statistics:
+    """What scores need of the whole benchmark: number of items, document frequencies, mean and longest length."""
+
+    def __init__(self, texts):
+        self.items = self.longest = filled = total = 0
+        self.df: Counter = Counter()
+        for text in texts:
+            bag = Counter(words_of(text))
+            size = sum(bag.values())
+            self.items += 1
+            self.longest = max(self.longest, size)
+            filled += bool(size)
+            total += size
+            self.df.update(bag.keys())
+        self.mean = total / max(1, filled) or 1.0
+
+
 class Index:
-    """Block-max inverted index of items (id, text)."""
+    """Block-max inverted index of items (id, text); ``whole`` has the statistics of the benchmark that they are a part of."""
 
-    def __init__(self, items: list[tuple[int, str]], ratio: float):
+    def __init__(self, items: list[tuple[int, str]], ratio: float, whole: Statistics | None = None):
+        whole = whole or Statistics(t for _, t in items)
         items = sorted((i, t) for i, t in items)
         self.ids = [i for i, _ in items]
         self.parts = [tuple(map(shingles, split_item(t))) for _, t in items]
         bags = [Counter(words_of(t)) for _, t in items]
         sizes = [sum(b.values()) for b in bags]
-        self.longest = max(sizes, default=0)
-        mean = sum(sizes) / max(1, sum(map(bool, sizes))) or 1.0
-        df = Counter(t for b in bags for t in b)
-        idf = {t: math.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+        self.longest, mean = whole.longest, whole.mean
+        df = {t: whole.df[t] for b in bags for t in b}
+        idf = {t: math.log(1 + (whole.items - n + 0.5) / (n + 0.5)) for t, n in df.items()}
         self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         own = [0.0] * len(items)
         for n, bag in enumerate(bags):
@@ -281,7 +299,9 @@ def _indexes(benchmark: DataFrame, ratio: float, max_index_words: int) -> list:
             part, words = [], 0
         part.append((r.item_id, r.text))
         words += n
-    return [benchmark.sparkSession.sparkContext.broadcast(Index(part, ratio)) for part in [*parts, part]]
+    parts.append(part)
+    whole = Statistics(t for part in parts for _, t in part)
+    return [benchmark.sparkSession.sparkContext.broadcast(Index(part, ratio, whole)) for part in parts]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.6, overlap: float = 0.8, max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
