@@ -56,7 +56,7 @@ STAGES = [
     ("token-ID / binary output", tokenised),
 ]
 
-#: The stages' models, hashes and tokenizer have no SQL form; tests hold run() against the operators' brute-force versions.
+#: The stages' models, hashes and tokenizer have no SQL form. Tests hold the first three stages to what they must keep, each on raw documents; none runs run() as a whole.
 ORACLE_SQL = None
 
 
