@@ -12,13 +12,13 @@ further coordinates too, so that branching would only copy them) or are left
 after ``depth`` levels are compared exhaustively, the large ones in pairs of
 blocks of a fixed size.
 
-A comparison looks at minwise values: pairs that agree in far fewer than the
-threshold's share of them are no candidates. As components need no more than a
+A comparison looks at minwise values: pairs that agree in fewer than six standard
+deviations below the threshold's share of them are no candidates, in any tree. As components need no more than a
 spanning forest, a node first gives its best one, and its edges are confirmed on the
 full sets. Where one fails, the full sets of the node's documents come to its task,
 in pairs of blocks where they are too many, and all candidates between documents that
 are not yet in one component are tested there; only links that join components leave
-the task. So no link is lost to the forest, and neither copies nor near misses are
+the task. So no candidate is lost to the forest, and neither copies nor near misses are
 ever listed as pairs.
 
 Defined cases: null text counts as empty; documents without words have an empty
@@ -257,7 +257,7 @@ def groups(reps: DataFrame, trees: int, small: int, block: int, depth: int) -> D
 def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, trees: int = TREES, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH, bin_shingles: int = BIN_SHINGLES) -> DataFrame:
     """Confirmed links (src < dst) among representatives (doc_id, sig): enough of them for the components."""
     share = percent / 100
-    unsure = share - 4 * (share * (1 - share) / COORDINATES) ** 0.5
+    unsure = share - 6 * (share * (1 - share) / COORDINATES) ** 0.5
     members = groups(reps, trees, small, block, depth)
     bins = 8 * max(12, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     binned = lambda df, most: df.withColumn("bin", F.pmod(F.xxhash64("gid"), F.lit(most)).cast("int")).groupBy("bin")
