@@ -254,6 +254,13 @@ def train_scorer(examples: list[tuple[list[int], list[float], float]], epochs: i
     return w, bias
 
 
+def _sampled(docs: DataFrame, rows: int, fit_rows: int) -> DataFrame:
+    """The ``fit_rows`` first of ``rows`` documents by hash; only a few more than those are sorted."""
+    at = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 20))
+    share = min(1.0, 1.2 * fit_rows / max(1, rows))
+    return docs.where(at < math.ceil(share * (1 << 20))).orderBy(at, "doc_id", "text").limit(fit_rows)
+
+
 def _fitted(docs: DataFrame, labels: DataFrame | None, fit_rows: int, threshold: float):
     """Fits the models on ``docs``; gives a function that a task calls once, for a function from a batch to its columns."""
     docs = doc_columns(docs)
@@ -286,9 +293,8 @@ def _fitted(docs: DataFrame, labels: DataFrame | None, fit_rows: int, threshold:
                         out[name].append(x)
             yield pa.RecordBatch.from_pydict({"task": pa.array(out["task"], pa.int32()), "slots": pa.array(out["slots"], pa.list_(pa.int32())), "vals": pa.array(out["vals"], pa.list_(pa.float32())), "y": pa.array(out["y"], pa.float64())})
 
-    # A bounded sample by hash of the id; its size does not follow the corpus.
-    share = min(1.0, 1.2 * fit_rows / max(1, sum(r.n for r in found)))
-    drawn = docs.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).limit(fit_rows)
+    # A bounded sample by hash of the id and the text, so that no row's place in the files counts; its size does not follow the corpus.
+    drawn = _sampled(docs, sum(r.n for r in found), fit_rows)
     examples: tuple[list, ...] = ([], [])
     for r in drawn.mapInArrow(sample, "task int, slots array<int>, vals array<float>, y double").toLocalIterator():
         examples[r.task].append((r.slots, r.vals, r.y))
