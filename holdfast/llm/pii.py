@@ -2,15 +2,17 @@
 
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers:
 the protected entities. Corpus counts then show which ordinary terms give an
-entity away: for a term t standing near an entity e, with document counts
-n(t, e), n(t), n(e) over N documents,
+entity away: for a term t among the ``NEAR_WORDS`` words on either side of an
+entity e, with document counts n(t, e), n(t), n(e) over N documents,
 
     confidence = n(t, e) / n(t)             how surely t points to e
     bits       = log2(N n(t, e) / n(t) n(e))  pointwise mutual information
 
 A term over both thresholds, seen with e in ``min_support`` documents or more,
-is disclosing. Its occurrences become spans of kind ``term``: generalised to
-their length class, or removed where the confidence is ``remove_at`` or more.
+is disclosing. The class of an entity (e-mail addresses, say) counts as an entity
+too, with ``class_support`` in place of ``min_support``: a term that always stands
+beside some address gives away that there is one. A disclosing term's occurrences become spans of kind ``term``: generalised to
+a mark, or removed where the confidence is ``remove_at`` or more.
 
 Defined cases: null text counts as empty and has no spans; a null doc_id stays
 null; repeated rows are separate documents in every count; an empty table gives
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +39,6 @@ N_BASE = 4
 TERMS_IN_MEMORY = 100_000
 #: Words on either side of an entity that count as standing near it.
 NEAR_WORDS = 8
-_NEAR_CHARS = 160
 
 # No pattern here backtracks over what it has read, so long runs cost time in proportion.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -46,6 +48,7 @@ _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TERM = re.compile(r"[^\W\d_]{3,}")
+_WORD = re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -88,23 +91,43 @@ def entity(text: str, span: Span) -> int:
     return int.from_bytes(hashlib.blake2b(f"{span[2]}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
+class Context:
+    """The words of a text by place, found once for all of its entities."""
+
+    def __init__(self, text: str):
+        self.text = text
+        places = [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [s for s, _ in places], [e for _, e in places]
+
+    def terms(self, span: Span) -> set[str]:
+        """Terms in the nearest words on both sides; of a word that the entity cuts, the part beside it."""
+        s, e, _ = span
+        before = bisect_left(self.starts, s)  # words that start before the entity
+        after = bisect_right(self.ends, e)  # the first that ends beyond it
+        left = [self.text[a : min(b, s)] for a, b in zip(self.starts[max(0, before - NEAR_WORDS) : before], self.ends[max(0, before - NEAR_WORDS) : before], strict=True)]
+        right = [self.text[max(a, e) : b] for a, b in zip(self.starts[after : after + NEAR_WORDS], self.ends[after : after + NEAR_WORDS], strict=True)]
+        return {t for w in (*left, *right) if "@" not in w for t in _TERM.findall(w.lower())}
+
+
 def near_terms(text: str, span: Span) -> set[str]:
-    """Terms among the nearest words on both sides; a word that the character window cuts is left out."""
-    s, e, _ = span
-    left = text[max(0, s - _NEAR_CHARS) : s].split()[1 if s > _NEAR_CHARS else 0 :][-NEAR_WORDS:]
-    after = text[e : e + _NEAR_CHARS].split()
-    right = (after[:-1] if e + _NEAR_CHARS < len(text) else after)[:NEAR_WORDS]
-    return {t for w in (*left, *right) if "@" not in w for t in _TERM.findall(w.lower())}
+    return Context(text).terms(span)
+
+
+def class_entity(kind: int) -> int:
+    """The name of a whole class of entities."""
+    return int.from_bytes(hashlib.blake2b(f"class:{kind}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def _cooccurrence(batches):
+    classes = [class_entity(k) for k in range(N_BASE)]
     for batch in text_slices(batches):
         names, ids = [], []
         for text in texts(batch):
-            pairs = set()
-            for span in base_spans(text):
-                e = entity(text, span)
-                pairs |= {("", e)} | {(t, e) for t in near_terms(text, span)}
+            pairs, spans = set(), base_spans(text)
+            context = Context(text) if spans else None
+            for span in spans:
+                for e in (entity(text, span), classes[span[2]]):
+                    pairs |= {("", e)} | {(t, e) for t in context.terms(span)}
             for t, e in pairs:
                 names.append(t)
                 ids.append(e)
@@ -133,12 +156,13 @@ def _document_terms(batches):
         yield pa.RecordBatch.from_pydict({"row": pa.array(ids, pa.string()), "term": pa.array(names, pa.string())})
 
 
-def disclosing_terms(docs: DataFrame, min_support: int = 3, min_confidence: float = 0.5, min_bits: float = 6.0, in_memory: int = TERMS_IN_MEMORY) -> DataFrame:
+def disclosing_terms(docs: DataFrame, min_support: int = 2, min_confidence: float = 0.5, min_bits: float = 6.0, class_support: int = 5, in_memory: int = TERMS_IN_MEMORY) -> DataFrame:
     """Table (term, confidence, bits, support) of terms that give an entity away; for each term its most telling entity."""
     docs = doc_columns(docs)
     seen = written(docs.mapInArrow(_cooccurrence, "term string, entity long").groupBy("term", "entity").agg(F.count("*").alias("n_te")), "pii-near")
     of_entity = seen.where("term = ''").select("entity", F.col("n_te").alias("n_e"))
-    pairs = written(seen.where((F.col("term") != "") & (F.col("n_te") >= min_support)).join(of_entity, "entity"), "pii-pairs")
+    enough = F.when(F.col("entity").isin([class_entity(k) for k in range(N_BASE)]), class_support).otherwise(min_support)
+    pairs = written(seen.where((F.col("term") != "") & (F.col("n_te") >= enough)).join(of_entity, "entity"), "pii-pairs")
     terms = pairs.select("term").distinct()
     few = terms.limit(in_memory + 1).count() <= in_memory
     if few:
@@ -181,14 +205,14 @@ def _sanitise(batch: pa.RecordBatch, held: dict[str, float], remove_at: float) -
     return digest_batch(batch["doc_id"], base, added, KINDS, N_BASE, cleaned)
 
 
-def sanitise(docs: DataFrame, min_support: int = 3, min_confidence: float = 0.5, min_bits: float = 6.0, remove_at: float = 0.9, in_memory: int = TERMS_IN_MEMORY) -> DataFrame:
+def sanitise(docs: DataFrame, min_support: int = 2, min_confidence: float = 0.5, min_bits: float = 6.0, class_support: int = 5, remove_at: float = 0.9, in_memory: int = TERMS_IN_MEMORY) -> DataFrame:
     """One row per document: counts and digest of base spans, all spans, and ``clean_text``.
 
     Up to ``in_memory`` disclosing terms (at most a few MB) go to every task;
     more reach their documents by a join on the documents' own terms, with the same result.
     """
     docs = doc_columns(docs)
-    terms = written(disclosing_terms(docs, min_support, min_confidence, min_bits, in_memory), "pii-terms")
+    terms = written(disclosing_terms(docs, min_support, min_confidence, min_bits, class_support, in_memory), "pii-terms")
     schema = digest_schema(KINDS, N_BASE)
     if terms.limit(in_memory + 1).count() <= in_memory:
         held = {r.term: r.confidence for r in terms.collect()}
