@@ -2,8 +2,8 @@
 
 Strong candidates (assignments to secret names, access key ids, long hex) are
 reported as they are. Weak candidates are parts of a credential that mean
-little alone: an identifier (``user=...``), a weak secret (``pwd: ...``) and an
-endpoint (a URL or ``host=...``). They are intervals within a scope, a run of
+little alone: an identifier (``user=...`` or an e-mail address), a weak secret
+(``pwd: ...``) and an endpoint (a URL, ``host=...`` or an IPv4 address). They are intervals within a scope, a run of
 text without a blank line. An interval join within each scope links parts at
 most ``reach`` characters apart: a weak secret is reported when an identifier,
 an access key id or an endpoint lies in reach; an identifier or endpoint when a
@@ -38,6 +38,10 @@ _PARTS = (
     (4, re.compile(r"""\b(?:pwd|pass|passphrase|credentials?|auth|private_?key|signature)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9+/_.=!@#$%^&*-]{6,}+""", re.A | re.I)),
     (5, re.compile(r"""\b(?:https?|ftp|ssh|amqps?|redis|mysql|mongodb|postgres(?:ql)?|jdbc:[a-z]{2,20})://[^\s"'<>]++|\b(?:host(?:name)?|server|endpoint)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9.:/_-]{4,}+""", re.A | re.I)),
 )
+#: The same kinds without a name in front: e-mail addresses by the run around their sign, IPv4 addresses.
+_MAIL = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_ADDRESS = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?(?![0-9]|\.[0-9])")
 _SCOPE_END = re.compile(r"\n[ \t\r]*\n")
 
 
@@ -68,11 +72,27 @@ class _Intervals:
         return n > 0 and self.furthest[n - 1] >= start - reach
 
 
+def weak_parts(text: str) -> list[Span]:
+    """All weak candidates, whatever stands beside them; those without a name in front where no named one covers them."""
+    weak = [(m.start(), m.end(), k) for k, p in _PARTS for m in p.finditer(text)] if "=" in text or ":" in text else []
+    bare, last = [], 0
+    for m in _MAIL.finditer(text) if "@" in text else ():
+        s = at = m.start()
+        while s > last and text[s - 1] in _LOCAL:
+            s -= 1
+        last = m.end()
+        if s < at:
+            bare.append((s, m.end(), 3))
+    bare += [(m.start(), m.end(), 5) for m in _ADDRESS.finditer(text)]
+    named = _Intervals(sorted(weak))
+    return weak + [s for s in bare if not named.meets(s[0] + 1, s[1] - 1, 0)]
+
+
 def linked_parts(text: str, base: list[Span], reach: int) -> list[Span]:
     """Weak candidates with a complement in reach, in the same scope."""
-    if "=" not in text and ":" not in text:
+    weak = weak_parts(text)
+    if not any(s[2] in (0, 2, 4) for s in (*base, *weak)):  # no secret: nothing can be linked
         return []
-    weak = [(m.start(), m.end(), k) for k, p in _PARTS for m in p.finditer(text)]
     if not weak:
         return []
     ends = [m.start() for m in _SCOPE_END.finditer(text)]
