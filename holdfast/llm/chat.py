@@ -4,12 +4,16 @@ A log row is an event: ``conv_id``, ``seq`` (its place in the conversation),
 ``role``, ``text`` and, where messages arrive in parts, ``message_id`` and
 ``kind``. Events of one message fold in order of ``seq``:
 
-    message, edit   the text so far is replaced by this text
+    message         a message begins with this text (a second one of the same
+                    ``message_id`` begins another message)
+    edit            the text so far is replaced by this text
     regenerate      the text so far is discarded, and this text begins anew
     delta           this text is appended (so is that of any other or no kind)
 
 A message stands where its first event stood and has the role of its first
-event with one. A row without ``message_id`` is a whole message. Messages of a
+event with one. A row without ``message_id`` is a whole message, and so is every
+row of a log without such columns. The log is dealt out by conversation once;
+folding and rendering both happen there. Messages of a
 conversation, by sequence, render as
 
     <turn:ROLE>\\n TEXT </turn>\\n
@@ -18,8 +22,9 @@ conversation, by sequence, render as
 roles, ``>`` written ``\\g``; so no text can hold a mark, and parsing gives
 back every role and text.
 
-Defined cases: null role or text counts as empty; rows with equal seq go by
-role, then text; repeated rows are messages of their own; rows with null seq
+Defined cases: null role or text counts as empty; events of a message with equal
+seq go by kind, then role, then text, and messages with equal seq by role, then
+text; repeated messages are messages of their own; rows with null seq
 come first; rows with null conv_id form one conversation; an empty table gives
 an empty table; other columns are ignored.
 """
@@ -45,23 +50,28 @@ def unescaped(text: Column) -> Column:
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """Messages (conv_id, seq, role, text) of a log whose events have message_id and kind."""
-    row = F.struct(F.col("seq"), F.coalesce(F.col("kind"), F.lit("delta")).alias("kind"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    in_parts = (
-        events.where(F.col("message_id").isNotNull())
-        .groupBy("conv_id", "message_id")
+    """Messages (conv_id, seq, role, text) of a log; its order within a conversation is that of ``seq``."""
+    known = set(events.columns)
+    message = F.col("message_id").cast("string") if "message_id" in known else F.lit(None).cast("string")
+    kind = F.coalesce(F.col("kind"), F.lit("delta")) if "kind" in known else F.lit("delta")
+    log = events.select("conv_id", "seq", "role", "text", message.alias("message_id"), F.when(message.isNull(), "message").otherwise(kind).alias("kind")).repartition("conv_id")
+    row = F.struct(F.col("seq"), F.col("kind"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    begins = F.array_union(F.array(F.lit(0)), F.filter(F.transform("parts", lambda p, i: F.when(p["kind"] == "message", i)), lambda i: i.isNotNull()))
+    until = lambda i: F.coalesce(F.get("begins", i + 1), F.size("parts"))
+    # The last reset and all that follow it.
+    last = F.array_max(F.transform("said", lambda p, i: F.when(p["kind"].isin("message", "edit", "regenerate"), i).otherwise(F.lit(0))))
+    return (
+        log.groupBy("conv_id", "message_id")
         .agg(F.sort_array(F.collect_list(row)).alias("parts"))
-        # The last reset and all that follow it.
-        .withColumn("last", F.array_max(F.transform("parts", lambda p, i: F.when(p["kind"].isin("message", "edit", "regenerate"), i).otherwise(F.lit(0)))))
+        .withColumn("begins", begins)
+        .select("conv_id", F.explode(F.transform("begins", lambda b, i: F.slice("parts", b + 1, until(i) - b))).alias("said"))
         .select(
             "conv_id",
-            F.col("parts")[0]["seq"].alias("seq"),
-            F.coalesce(F.filter("parts", lambda p: p["role"] != "")[0]["role"], F.lit("")).alias("role"),
-            F.array_join(F.transform(F.filter("parts", lambda p, i: i >= F.col("last")), lambda p: p["text"]), "").alias("text"),
+            F.col("said")[0]["seq"].alias("seq"),
+            F.coalesce(F.get(F.filter("said", lambda p: p["role"] != ""), F.lit(0))["role"], F.lit("")).alias("role"),
+            F.array_join(F.transform(F.slice("said", last + 1, F.size("said")), lambda p: p["text"]), "").alias("text"),
         )
     )
-    whole = events.where(F.col("message_id").isNull()).select("conv_id", "seq", "role", "text")
-    return in_parts.unionByName(whole)
 
 
 def format_chats(events: DataFrame) -> DataFrame:
@@ -70,7 +80,7 @@ def format_chats(events: DataFrame) -> DataFrame:
     A loss span (turn, start, end) is an assistant text's place in code points
     within its rendered turn; turns end with the mark, which no text can hold.
     """
-    messages = fold_events(events) if {"message_id", "kind"} <= set(events.columns) else events
+    messages = fold_events(events)
     turn = F.struct(F.col("seq"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     head = lambda t: F.concat(F.lit(_OPEN), F.replace(escaped(t["role"]), F.lit(">"), F.lit("\\g")), F.lit(_HEAD_END))
     return (
