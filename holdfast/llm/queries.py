@@ -37,6 +37,7 @@ def op3_quality(spark, sf_dir):
 def op4_chat(spark, sf_dir):
     extra = spark.sql(r"""select -7L as conv_id, turn, role, r'\### Assistant: </turn> ok' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)""")
     log = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra).withColumnRenamed("turn", "seq")
+    log = log.withColumns({"message_id": F.concat(F.lit("turn "), "seq"), "kind": F.lit("message")})  # each row an event
     back = chat.parse_chats(chat.format_chats(log))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join("loss_texts", "")
@@ -60,7 +61,7 @@ def op6_topk(spark, sf_dir):
 
 def op7_mixing(spark, sf_dir):
     planned = mixing.plan_copies(_read(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "source", F.col("_mix_tokens").alias("n_tokens"), F.col("_mix_weight").alias("weight"), F.col("_mix_copies").alias("copies"))
+    return planned.select("doc_id", "source", F.col("_mix_tokens").alias("n_tokens"), F.col("_mix_weight").alias("weight"), F.col("_mix_copies").alias("copies"), F.col("_mix_block").alias("block"), F.col("_mix_places").alias("places"))
 
 
 def op8_decontamination(spark, sf_dir):
