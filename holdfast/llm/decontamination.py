@@ -22,8 +22,9 @@ shingle; repeated rows get equal results; an empty benchmark finds nothing; an
 empty table gives an empty table; other columns are ignored.
 
 The index is a broadcast; ``max_index_words`` bounds it, and a larger benchmark
-is cut into parts of that size, each queried in turn. Scores and passages come
-from the whole benchmark's statistics, so the parts do not change the result.
+is cut into parts of that size, which pass through the driver and are queried one
+at a time. Scores and passages come from the whole benchmark's statistics, counted
+by Spark, so the parts do not change the result.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import Cache, doc_columns, text_slices, texts
+from holdfast.llm.common import Cache, doc_columns, small_batches, text_slices, texts
+from holdfast.scratch import drop, written
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -69,27 +71,24 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
 
 
 class Statistics:
-    """What scores need of the whole benchmark: number of items, document frequencies, mean and longest length."""
-
-    def __init__(self, texts):
-        self.items = self.longest = filled = total = 0
-        self.df: Counter = Counter()
-        for text in texts:
-            bag = Counter(words_of(text))
-            size = sum(bag.values())
-            self.items += 1
-            self.longest = max(self.longest, size)
-            filled += bool(size)
-            total += size
-            self.df.update(bag.keys())
-        self.mean = total / max(1, filled) or 1.0
+    """What scores need of the whole benchmark: number of items, longest and mean length, document frequencies of the terms at hand."""
+
+    def __init__(self, items: int, longest: int, mean: float, df: dict[str, int]):
+        self.items, self.longest, self.mean, self.df = items, longest, mean, df
+
+    @classmethod
+    def of(cls, texts) -> Statistics:
+        """Those of a few texts in memory."""
+        bags = [words_of(t) for t in texts]
+        sizes = [len(b) for b in bags if b]
+        return cls(len(bags), max(sizes, default=0), sum(sizes) / max(1, len(sizes)) or 1.0, Counter(w for b in bags for w in set(b)))
 
 
 class Index:
     """Block-max inverted index of items (id, text); ``whole`` has the statistics of the benchmark that they are a part of."""
 
     def __init__(self, items: list[tuple[int, str]], ratio: float, whole: Statistics | None = None):
-        whole = whole or Statistics(t for _, t in items)
+        whole = whole or Statistics.of(t for _, t in items)
         items = sorted((i, t) for i, t in items)
         self.ids = [i for i, _ in items]
         self.parts = [tuple(map(shingles, split_item(t))) for _, t in items]
@@ -287,37 +286,70 @@ def _without(sent, overlap: float):
     return run
 
 
-def _indexes(benchmark: DataFrame, ratio: float, max_index_words: int) -> list:
-    """Broadcast indexes of the benchmark's parts."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
+
+
+def _bags(batches):
+    for batch in text_slices(batches):
+        words = [words_of(t) for t in texts(batch)]
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(w) for w in words], pa.int64()), "terms": pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))})
+
+
+def _indexes(benchmark: DataFrame, ratio: float, max_index_words: int):
+    """Broadcast indexes of the benchmark's parts, one after the other; the driver holds one part at a time."""
+    spark, items = benchmark.sparkSession, _items(benchmark)
+    bags = written(items.mapInArrow(_bags, "n long, terms array<string>"), "decon-bags")
+    sizes = bags.agg(F.count("*").alias("items"), F.coalesce(F.max("n"), F.lit(0)).alias("longest"), F.count_if(F.col("n") > 0).alias("filled"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    frequencies = written(bags.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")), "decon-terms")
+
+    def index(part: list[tuple[int, str]]):
+        own = sorted({w for _, t in part for w in words_of(t)})
+        # At most max_index_words terms, or those of one longer item.
+        wanted = spark.createDataFrame([(w,) for w in own], "term string")
+        df = {r.term: r.n for r in frequencies.join(F.broadcast(wanted), "term").collect()}
+        return spark.sparkContext.broadcast(Index(part, ratio, Statistics(sizes.items, sizes.longest, sizes.total / max(1, sizes.filled) or 1.0, df)))
+
     part, words = [], 0
-    parts: list[list[tuple[int, str]]] = []
     for r in items.orderBy("item_id", "text").toLocalIterator():
         n = len(words_of(r.text))
         if part and words + n > max_index_words:
-            parts.append(part)
+            yield index(part)
             part, words = [], 0
         part.append((r.item_id, r.text))
         words += n
-    parts.append(part)
-    whole = Statistics(t for part in parts for _, t in part)
-    return [benchmark.sparkSession.sparkContext.broadcast(Index(part, ratio, whole)) for part in parts]
+    yield index(part)
+    drop(bags, frequencies)
+
+
+def _in_turn(benchmark: DataFrame, ratio: float, max_index_words: int, step):
+    """``step(index)`` for each part. With several parts each one's result is written, and its index let go, before the next."""
+    words = _items(benchmark).mapInArrow(_bags, "n long, terms array<string>").agg(F.sum("n")).first()[0] or 0
+    for sent in _indexes(benchmark, ratio, max_index_words):
+        if words <= max_index_words:
+            yield step(sent)
+        else:
+            yield written(step(sent), "decon-part")
+            sent.unpersist(blocking=True)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.6, overlap: float = 0.8, max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
     """(doc_id, item_id, overlap): every document with every test item verified in it."""
     docs, found = doc_columns(docs), None
-    for sent in _indexes(benchmark, ratio, max_index_words):
-        hits = docs.mapInArrow(_search(sent, overlap), "doc_id long, item_id long, overlap double")
+    for hits in _in_turn(benchmark, ratio, max_index_words, lambda sent: docs.mapInArrow(_search(sent, overlap), "doc_id long, item_id long, overlap double")):
         found = hits if found is None else found.unionByName(hits)
     return found
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.6, overlap: float = 0.8, max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
     """Rows of ``docs`` in whose own text no test item is verified."""
-    for sent in _indexes(benchmark, ratio, max_index_words):
-        docs = docs.mapInArrow(_without(sent, overlap), docs.schema)
-    return docs
+    small_batches(docs.sparkSession)
+    left = docs
+    for rest in _in_turn(benchmark, ratio, max_index_words, lambda sent: left.mapInArrow(_without(sent, overlap), docs.schema)):
+        before, left = left, rest
+        if hasattr(before, "scratch_path") and before is not docs:
+            drop(before)
+    return left
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
