@@ -28,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import CACHE_WORDS, Cache, doc_columns, text_slices, texts
+from holdfast.llm.common import Cache, doc_columns, text_slices, texts
+from holdfast.scratch import written
 
 TASKS = ("junk", "toxic")
 #: Width of the hashed weights.
 DIM = 1 << 15
 #: Rows at most that either fit sees.
 FIT_ROWS = 4000
+#: Distinct tokens, or words, that a reader numbers before it begins anew; about 250 bytes each.
+NUMBERED = 150_000
 
 #: Common English insults, a seed for the toxic labellers.
 INSULTS = frozenset("clown disgusting dumb fool idiot imbecile jerk loser moron pathetic scum stupid trash vermin worthless".split())
@@ -79,7 +82,7 @@ class Numbers(dict):
 class Reader:
     """Texts to labellers' votes and a bag of words; what depends on a token or word alone is computed once."""
 
-    def __init__(self, learned: dict[str, float], slots: bool = True, most: int = 2 * CACHE_WORDS):
+    def __init__(self, learned: dict[str, float], slots: bool = True, most: int = NUMBERED):
         self.learned = learned
         self.begun = {x[: STEMS[0]] for x in learned if x.endswith("*")}  # how a word with a learned stem begins
         self.slots = slots
@@ -163,23 +166,33 @@ def learn_terms(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     chosen = parts[0].unionByName(parts[1])
     joined = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most 2 * fit_rows ids
 
-    def count(batches):
-        plain, of, seen = Cache(_plain), (Counter(), Counter()), Counter()
-        for batch in batches:
-            for text, y in zip(texts(batch), batch["toxic"].to_pylist(), strict=True):
-                of[y > 0].update({x for w in map(plain.__getitem__, text.split()) for x in (w, *stems(w))})
-                seen[y > 0] += 1
-        words = list(of[1])  # a word in no toxic document can't be learned
-        yield pa.RecordBatch.from_pydict({"word": pa.array(["", *words], pa.string()), "toxic": pa.array([seen[True], *(of[1][w] for w in words)], pa.int64()), "clean": pa.array([seen[False], *(of[0][w] for w in words)], pa.int64())})
-
-    total = joined.mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    sizes = total.where("word = ''").first()
-    if sizes is None or not sizes.toxic:
+    def count(wanted: frozenset | None):
+        def run(batches):
+            plain, of, seen = Cache(_plain), Counter(), 0
+            for batch in text_slices(batches):
+                for text in texts(batch):
+                    found = {x for w in map(plain.__getitem__, text.split()) for x in (w, *stems(w))}
+                    of.update(found if wanted is None else found & wanted)
+                    seen += 1
+                plain.trim()
+            yield pa.RecordBatch.from_pydict({"word": pa.array(["", *(w for w in of if w)], pa.string()), "n": pa.array([seen, *(n for w, n in of.items() if w)], pa.int64())})
+
+        return run
+
+    # A term stands in a fiftieth of the sample's toxic documents, so their number is bounded by fifty times a document's
+    # words; of the other documents, only those terms are counted.
+    toxic = written(joined.where("toxic > 0").mapInArrow(count(None), "word string, n long").groupBy("word").agg(F.sum("n").alias("toxic")), "quality-toxic")
+    nt = (toxic.where("word = ''").first() or [0, 0])[1]
+    if not nt:
         return {}
-    nt, nc = sizes.toxic, sizes.clean
+    likely = toxic.where((F.col("word") != "") & (F.col("toxic") >= max(3, nt // 50)))
+    wanted = frozenset(r.word for r in likely.collect())
+    clean = written(joined.where("toxic <= 0").mapInArrow(count(wanted), "word string, n long").groupBy("word").agg(F.sum("n").alias("clean")), "quality-clean")
+    nc = (clean.where("word = ''").first() or [0, 0])[1]
+    total = likely.join(clean, "word", "left").withColumn("clean", F.coalesce("clean", F.lit(0)))
     odds = F.log(((F.col("toxic") + 0.5) / (nt + 1.0)) / ((F.col("clean") + 0.5) / (nc + 1.0)))
-    rows = total.where("word <> ''").withColumn("odds", odds).where((F.col("toxic") >= max(3, nt // 50)) & (F.col("odds") >= 3.5)).orderBy(F.desc("odds"), "word").limit(1000)
-    return {r.word: r.odds for r in rows.collect()}
+    rows = total.withColumn("odds", odds).where("odds >= 3.5")
+    return {r.word: r.odds for r in rows.orderBy(F.desc("odds"), "word").collect()}
 
 
 #: Rates of the votes -1, 0, 1 with which estimation begins, where the truth is yes and no: junk is of many kinds, of
@@ -223,17 +236,19 @@ def _slot(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % DIM
 
 
-def _features(task: int, words: list[int], votes: str) -> tuple[list[int], list[float]]:
+def _features(task: int, words: np.ndarray, votes: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features: slots of the distinct words of a length-normalised bag, and the labellers' votes."""
-    scale = 1 / math.sqrt(max(1, len(words)))
-    return words + _vote_slots(task, votes), [scale] * len(words) + [1.0] * len(votes)
+    slots = np.concatenate([words, np.array(_vote_slots(task, votes), np.int32)])
+    values = np.ones(len(slots), np.float32)
+    values[: len(words)] = 1 / math.sqrt(max(1, len(words)))
+    return slots, values
 
 
 def _vote_slots(task: int, votes: str) -> list[int]:
     return [_slot(f"\x00{task}:{i}{v}") for i, v in enumerate(votes)]
 
 
-def train_scorer(examples: list[tuple[list[int], list[float], float]], epochs: int = 60, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def train_scorer(examples: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 60, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on posterior (soft) labels by full-batch AdaGrad."""
     w, bias, g2, b2 = np.zeros(DIM), 0.0, np.full(DIM, 1e-6), 1e-6
     if not examples:
@@ -284,24 +299,20 @@ def _fitted(docs: DataFrame, labels: DataFrame | None, fit_rows: int, threshold:
     def sample(batches):
         reader = Reader(learned)
         for batch in text_slices(batches):
-            out = {"task": [], "slots": [], "vals": [], "y": []}
-            for text in texts(batch):
-                bag, pats = reader.read(text)
-                for task in range(len(TASKS)):
-                    slots, vals = _features(task, bag.tolist(), pats[task])
-                    for name, x in zip(out, (task, slots, vals, posterior[task].get(pats[task], 0.0)), strict=True):
-                        out[name].append(x)
-            yield pa.RecordBatch.from_pydict({"task": pa.array(out["task"], pa.int32()), "slots": pa.array(out["slots"], pa.list_(pa.int32())), "vals": pa.array(out["vals"], pa.list_(pa.float32())), "y": pa.array(out["y"], pa.float64())})
+            found = [reader.read(t) for t in texts(batch)]
+            yield pa.RecordBatch.from_pydict({"bag": pa.array([bag.astype(np.int32).tobytes() for bag, _ in found], pa.binary()), **{k: pa.array([pats[i] for _, pats in found], pa.string()) for i, k in enumerate(TASKS)}})
 
     # A bounded sample by hash of the id and the text, so that no row's place in the files counts; its size does not follow the corpus.
     drawn = _sampled(docs, sum(r.n for r in found), fit_rows)
     examples: tuple[list, ...] = ([], [])
-    for r in drawn.mapInArrow(sample, "task int, slots array<int>, vals array<float>, y double").toLocalIterator():
-        examples[r.task].append((r.slots, r.vals, r.y))
+    for r in drawn.mapInArrow(sample, "bag binary, junk string, toxic string").toLocalIterator():
+        bag = np.frombuffer(r.bag, np.int32)
+        for task, name in enumerate(TASKS):
+            examples[task].append((*_features(task, bag, r[name]), posterior[task].get(r[name], 0.0)))
     # Every vote pattern is an example too, so that rare ones are learned.
     for task in range(len(TASKS)):
         for pat, y in posterior[task].items():
-            examples[task].append((*_features(task, [], pat), y))
+            examples[task].append((*_features(task, np.zeros(0, np.int32), pat), y))
     models = [train_scorer(e) for e in examples]
     packed = [(w.astype(np.float32), b) for w, b in models]
 
