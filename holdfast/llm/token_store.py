@@ -43,6 +43,8 @@ from holdfast.scratch import drop, new_path, written
 #: Ids under the rolling hash; the shortest chunk; a cut falls on 1 of MEAN places beyond it; the longest chunk.
 WINDOW, SHORTEST, MEAN, LONGEST = 16, 64, 512, 4096
 DIGEST_BYTES = 16
+#: Encoded words that a Python worker keeps from task to task, about 200 bytes each.
+ENCODED_WORDS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,7 +124,7 @@ class Encoder:
         # Whether the model alone gives what the whole tokenizer gives for a word of letters.
         probe = ["a", "the", "zebra", "größe", "élèveñ", "çüøþÿ", "internationalisation", "xqzjvk"]
         self.direct = split_words and all(self.by_model(w) == self.whole(w) for w in probe)
-        self.cache = Cache(self.word, 1_200_000)
+        self.cache = Cache(self.word, ENCODED_WORDS)
 
     def by_model(self, word: str) -> bytes:
         """A word of lower-case Latin letters is normal already and one piece, so the library's model is asked at once."""
