@@ -7,13 +7,13 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python function handles at once; longer documents form a slice of their own.
 SLICE_CHARS = 4_000_000
-#: Cached words per Python worker; a full cache is emptied and built anew.
-CACHE_WORDS = 400_000
+#: Cached words of a task, about 150 bytes each.
+CACHE_WORDS = 200_000
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -53,23 +53,40 @@ def sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+#: Bytes of an Arrow batch, about; what a task holds beside the heap follows them.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_BYTES, unless they are smaller already."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(setting).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def doc_columns(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever other columns there are."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 class Cache(dict):
-    """Word to value, computed on first sight, bounded between uses by trim()."""
+    """Word to value, computed on first sight. Between uses trim() holds it to ``most`` words in two generations, so what is met often stays."""
 
     def __init__(self, make, most: int = CACHE_WORDS):
         super().__init__()
         self.make = make
         self.most = most
+        self.old: dict = {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.old.get(key, self)
+        if value is self:
+            value = self.make(key)
+        self[key] = value
         return value
 
     def trim(self):
-        if len(self) > self.most:
+        if len(self) > self.most // 2:
+            self.old = dict(self)
             self.clear()
