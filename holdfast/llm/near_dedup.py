@@ -357,12 +357,13 @@ def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, trees: int = T
     sure = written(confirmed(docs, reps, first.select("src", "dst").distinct(), n, percent), "dedup-sure")
     parts = written(connected_components(sure).withColumnsRenamed({"node": "doc_id"}), "dedup-parts")
     # Open: small nodes of which an edge failed while they have other candidates, and large nodes; of these, what is of several components.
-    failed = first.where("more").join(sure, ["src", "dst"], "left_anti").select("gid").distinct()
-    left = members.join(failed, "gid", "left_semi").unionByName(dense.select("gid", "doc_id"))
+    failed = written(first.where("more").join(sure, ["src", "dst"], "left_anti").select("gid").distinct(), "dedup-failed")
+    left = members.join(_sent(failed), "gid", "left_semi").unionByName(dense.select("gid", "doc_id"))
     left = left.join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = left.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gid")
-    left = written(left.join(several, "gid", "left_semi").join(reps.select("doc_id", "n"), "doc_id"), "dedup-open")
-    drop(members, dense, first, parts)
+    several = written(left.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gid"), "dedup-several")
+    # A group may hold a third of all rows: it isn't dealt out by its id where the groups' table can go to the rows.
+    left = written(left.join(_sent(several), "gid", "left_semi").join(reps.select("doc_id", "n"), "doc_id"), "dedup-open")
+    drop(members, dense, first, parts, failed, several)
     if left.isEmpty():
         drop(left)
         return sure
@@ -380,6 +381,11 @@ def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, trees: int = T
     return sure.unionByName(rest)
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table as the side of a join: broadcast, if it has no more than IDS_IN_MEMORY rows."""
+    return F.broadcast(table) if table.count() <= IDS_IN_MEMORY else table
+
+
 def _met(left: DataFrame, bin_shingles: int) -> DataFrame:
     """Open groups as (gid, node, doc_id, component, n, side, cross): whole where they are small, else by blocks.
 
@@ -389,7 +395,8 @@ def _met(left: DataFrame, bin_shingles: int) -> DataFrame:
     size = by_part.groupBy("gid").agg(F.sum("k").alias("all"), F.max(F.struct("k", "component")).alias("main"))
     blocks = lambda k: F.greatest(F.lit(1), F.ceil(k / F.lit(bin_shingles / 2)).cast("int"))
     size = size.select("gid", "all", F.col("main.component").alias("main"), blocks(F.col("main.k")).alias("mains"), blocks(F.col("all") - F.col("main.k")).alias("others"))
-    rows = left.join(size, "gid").withColumn("is_main", F.col("component") == F.col("main"))
+    size = written(size, "dedup-split")
+    rows = left.join(_sent(size), "gid").withColumn("is_main", F.col("component") == F.col("main"))
     whole = F.col("all") <= bin_shingles
     one = rows.where(whole).select("gid", F.col("gid").alias("node"), "doc_id", "component", "n", F.lit(0).alias("side"), F.lit(False).alias("cross"))
     cut = rows.where(~whole).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
@@ -407,7 +414,6 @@ def _met(left: DataFrame, bin_shingles: int) -> DataFrame:
 def held_texts(docs: DataFrame, reps: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """(doc_id, text) of the representatives in ``ids``; where an id has several rows, a text whose set stands for it, once a task."""
     wanted = written(ids.distinct().join(reps.select("doc_id", "digest", "alone"), "doc_id"), "dedup-ids")
-    few = wanted.count() <= IDS_IN_MEMORY
 
     def standing(batches):
         cache, given = Cache(word_hash), set()
@@ -420,7 +426,7 @@ def held_texts(docs: DataFrame, reps: DataFrame, ids: DataFrame, n: int) -> Data
             cache.trim()
             yield batch.select(["doc_id", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "digest", "alone")
+    joined = docs.join(_sent(wanted), "doc_id").select("doc_id", "text", "digest", "alone")
     return written(joined.mapInArrow(standing, "doc_id long, text string"), "dedup-texts")
 
 
