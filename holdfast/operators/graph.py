@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.operators.components import connected_components
+from holdfast.operators.splits import ordinal_positions
 
 
 def star_edges(rows: DataFrame, id_col: str, keys: list[str], reason: str) -> DataFrame:
@@ -42,8 +43,38 @@ def content_ids(members: DataFrame, id_col: str) -> DataFrame:
     return members.groupBy("component").agg(F.concat(F.lit("comp_"), F.substring(F.sha1(ids), 1, 12)).alias("component_id"))
 
 
+def ordinal_ids(members: DataFrame, prefix: str = "component_") -> DataFrame:
+    """(component, ordinal): components numbered from 0 in the order of their names, which are whole numbers."""
+    ranked = ordinal_positions(members.select("component").distinct(), "component")
+    return ranked.select("component", F.concat(F.lit(prefix), F.lpad((F.col("position") - 1).cast("string"), 5, "0")).alias("ordinal"))
+
+
+def key_components(rows: DataFrame, id_col: str, key: str) -> DataFrame:
+    """(id, component) where a component is nothing but a key, such as the subject; a row without one is its own."""
+    named = rows.select(F.col(id_col).alias("id"), F.col(key).alias("key"))
+    least = named.where("key is not null").groupBy("key").agg(F.min("id").alias("component"))
+    return named.join(least, "key", "left").select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component"))
+
+
+def near_flags(pairs: DataFrame, rows: DataFrame, id_col: str, subject: str, label: str) -> DataFrame:
+    """Near pairs for review: whether both have one subject, or one class; they never block a split. Nulls are alike to nothing."""
+    a, b = (rows.select(F.col(id_col).alias(f"id_{x}"), F.col(subject).alias(f"_s{x}"), F.col(label).alias(f"_l{x}")) for x in "ab")
+    met = pairs.join(a, "id_a").join(b, "id_b")
+    same = lambda x, y: F.coalesce(F.col(x) == F.col(y), F.lit(False))
+    return met.select(*pairs.columns, same("_sa", "_sb").alias("same_subject"), same("_la", "_lb").alias("same_class"), F.lit("review_only_not_split_blocking").alias("policy"))
+
+
+def summary(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, n): nodes, star edges (in all and by reason) and components."""
+    totals = members.agg(F.count("*").alias("nodes"), F.countDistinct("component").alias("components"))
+    listed = totals.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in ("nodes", "components")])).alias("x")).select("x.*")
+    named = edges.rollup("reason").agg(F.count("*").alias("n")).select(F.coalesce(F.concat(F.lit("edges "), "reason"), F.lit("edges")).alias("name"), "n")
+    return listed.unionByName(named)
+
+
 def size_histogram(members: DataFrame) -> DataFrame:
-    return members.groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("components"))
+    """Components by size, sorted by size."""
+    return members.groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("components")).orderBy("size")
 
 
 def orphans(rows: DataFrame, component: str, split: str) -> DataFrame:

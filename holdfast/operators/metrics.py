@@ -79,7 +79,8 @@ def draw(seed: int, b: Column, k: Column, n: Column) -> Column:
 
 
 def bootstrap_means(values: DataFrame, by: list[str], order: str, value: str, resamples: int, seed: int, paired: bool = True) -> DataFrame:
-    """(by, b, mean) of resampled means. ``paired``: all groups share the drawn positions, as their hash has no group in it.
+    """(by, b, mean) of resampled means. ``paired``: all groups share the drawn positions, as their hash has no group in it;
+    otherwise each group draws for itself.
 
     Positions are joined to the draws, so a resample never sits in one task.
     """
@@ -87,7 +88,8 @@ def bootstrap_means(values: DataFrame, by: list[str], order: str, value: str, re
     placed = values.select(*by, value, (F.row_number().over(w.orderBy(order)) - 1).alias("i"), F.count("*").over(w).alias("n"))
     sizes = placed.select(*by, "n").distinct()
     draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    draws = draws.withColumn("i", draw(seed, F.col("b"), F.col("k"), F.col("n")).cast("int"))
+    who = F.col("b") if paired else F.concat_ws(":", F.col("b").cast("string"), *[F.col(c).cast("string") for c in by])
+    draws = draws.withColumn("i", draw(seed, who, F.col("k"), F.col("n")).cast("int"))
     return draws.drop("n").join(placed.drop("n"), [*by, "i"]).groupBy(*by, "b").agg(F.avg(value).alias("mean"))
 
 
@@ -162,12 +164,20 @@ def per_thousand(rates: DataFrame, prevalences: list[float], specificity: float
     return r.select(*rates.columns, "prevalence", (sick * F.col("sensitivity")).alias("tp"), (sick * (1 - F.col("sensitivity"))).alias("fn"), ((1000 - sick) * specificity).alias("tn"), ((1000 - sick) * (1 - specificity)).alias("fp"))
 
 
-def centroid_probe(vectors: DataFrame, group: str, vector: str, fold: str) -> DataFrame:
-    """How well a nearest-centroid probe tells groups: accuracy, chance and lift. Centroids are one row a group."""
+def centroid_probe(vectors: DataFrame, group: str, vector: str, fold: str, block: int = 256) -> DataFrame:
+    """How well a nearest-centroid probe tells groups: accuracy, chance and lift.
+
+    Centroids are cut into blocks of a fixed number, and each probe vector meets each block once; so no task or
+    broadcast holds all groups. The distance is Euclidean, a tie goes to the lesser group.
+    """
     parts = vectors.where(F.col(fold) == "fit").select(group, F.posexplode(vector).alias("i", "x")).groupBy(group, "i").agg(F.avg("x").alias("x"))
     centroids = parts.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
-    held = centroids.agg(F.collect_list(F.struct(F.col(group).alias("g"), "c")).alias("all"))
+    n = centroids.count()
+    blocks = max(1, -(-n // block))
+    held = centroids.withColumn("b", F.pmod(F.xxhash64(group), F.lit(blocks))).groupBy("b").agg(F.collect_list(F.struct(F.col(group).alias("g"), "c")).alias("all"))
     distance = lambda c: F.aggregate(F.zip_with(F.col(vector), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    probe = vectors.where(F.col(fold) == "probe").crossJoin(F.broadcast(held))  # one row
-    best = F.array_min(F.transform("all", lambda s: F.struct(distance(s["c"]).alias("d"), s["g"].alias("g"))))["g"]
-    return probe.select((best == F.col(group)).cast("int").alias("ok"), F.size("all").alias("n")).agg(F.avg("ok").alias("accuracy"), F.max(1.0 / F.col("n")).alias("chance")).withColumn("lift", F.col("accuracy") / F.col("chance"))
+    probe = vectors.where(F.col(fold) == "probe").select(F.col(group).alias("own"), vector, F.monotonically_increasing_id().alias("row"))
+    met = probe.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(held, "b")
+    best = F.array_min(F.transform("all", lambda s: F.struct(distance(s["c"]).alias("d"), s["g"].alias("g"))))
+    nearest = met.select("row", "own", best.alias("best")).groupBy("row").agg(F.first("own").alias("own"), F.min("best").alias("best"))
+    return nearest.agg(F.avg((F.col("best.g") == F.col("own")).cast("int")).alias("accuracy")).withColumn("chance", F.lit(1.0 / n if n else None).cast("double")).withColumn("lift", F.col("accuracy") / F.col("chance"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions import rules
-from holdfast.operators import graph, joins, metrics, splits
+from holdfast.operators import audits, graph, joins, metrics, splits
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -80,35 +80,29 @@ def rule_pick(spark, d):
     return c.select(F.col("c_custkey").alias("subject"), rules.pick(c, "absent", "c_mktsegment", "c_name").alias("segment"), F.element_at(F.split("c_name", "#"), 2).try_cast("int").alias("number"), F.regexp_extract("c_name", r"([0-9]+)$", 1).alias("digits"))
 
 
-@query("select event_id, case when event_type in ('purchase', 'signup') then 'positive' else 'negative' end as binary_label, greatest(date_diff('day', date '2024-01-01', cast(ts as date)), 0)::int as day_no from events where event_type is not null")
+@query("""select event_id, case when event_type in ('click', 'view') then 'NonDemented' when event_type in ('purchase', 'signup') then 'Demented' else 'Unknown' end as binary_label from events""")
 def rule_binary(spark, d):
-    e = table(spark, d, "events").where("event_type is not null")
-    return e.select("event_id", F.when(F.col("event_type").isin("purchase", "signup"), "positive").otherwise("negative").alias("binary_label"), F.greatest(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")), F.lit(0)).alias("day_no"))
+    return table(spark, d, "events").select("event_id", rules.binary_label(F.col("event_type"), {"click", "view"}, {"purchase", "signup"}).alias("binary_label"))
 
 
-@query("select vec_id, unnest([-20, -10, 0, 10, 20]) + 32 as slice from embeddings")
+@query("""with sized as (select p_partkey as volume, p_size::int as n from part), o as (select unnest([-20, -10, 0, 10, 20])::int as slice_offset)
+select volume, slice_offset, (n // 2 + slice_offset)::int as slice_index from sized, o where n // 2 + slice_offset >= 0 and n // 2 + slice_offset < n""")
 def slice_offsets(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.explode(F.array(*map(F.lit, (-20, -10, 0, 10, 20)))).alias("o")).select("vec_id", (F.col("o") + 32).alias("slice"))
+    volumes = table(spark, d, "part").select(F.col("p_partkey").alias("volume"), F.explode(rules.slice_indexes(F.col("p_size").cast("int"))).alias("s"))
+    return volumes.select("volume", F.col("s.offset").alias("slice_offset"), F.col("s.index").alias("slice_index"))
 
 
-@query("with lim as (select vec_id, embedding, quantile_cont(x, 0.01) as lo, quantile_cont(x, 0.99) as hi from (select vec_id, embedding, unnest(embedding)::double as x from embeddings) where x > 0 group by all) select vec_id, round(list_sum(list_transform(embedding, lambda x: least(greatest((x::double - lo) / (hi - lo), 0), 1) * 255)), 6) as total from lim")
+@query("""with lim as (select vec_id, embedding, quantile_cont(x, 0.01) as lo, quantile_cont(x, 0.99) as hi from (select vec_id, embedding, unnest(embedding)::double as x from embeddings) where x > 0 group by all)
+select vec_id, round(list_sum(list_transform(embedding, lambda x: least(greatest((x::double - lo) / (hi - lo), 0), 1) * 255)), 6) as total from lim""")
 def intensity_normalise(spark, d):
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    e = table(spark, d, "embeddings").select("vec_id", v.alias("v"), F.posexplode(v).alias("i", "x")).where("x > 0")
-    lim = e.groupBy("vec_id", "v").agg(F.percentile("x", F.lit(0.01)).alias("lo"), F.percentile("x", F.lit(0.99)).alias("hi"))
-    scaled = F.transform("v", lambda x: F.least(F.greatest((x - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0)) * 255)
-    return lim.select("vec_id", F.round(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    scaled = rules.normalise_intensity(F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 # --- joins
 
 
-@query("with s as (select image_id, subject_id, acq_date from (select o_orderkey as image_id, o_custkey as subject_id, cast(o_orderdate as date) as acq_date from orders where o_orderkey % 3 = 0)), c as (select s.image_id, cast(o.o_orderdate as date) as examdate, abs(date_diff('day', s.acq_date, cast(o.o_orderdate as date))) as gap, o.o_orderpriority as code, row_number() over (partition by s.image_id order by abs(date_diff('day', s.acq_date, cast(o.o_orderdate as date))), cast(o.o_orderdate as date), o.o_orderkey) as r from s join orders o on o.o_custkey = s.subject_id and o.o_orderkey % 3 = 1) select s.image_id, s.subject_id, c.examdate as matched_day, c.gap::int as gap_days, c.code from s left join c on c.image_id = s.image_id and c.r = 1 and c.gap <= 180")
-def asof_nearest(spark, d):
-    s = scans(spark, d)
-    left = s.where("image_id % 3 = 0").select("image_id", "subject_id", "acq_date")
-    right = s.where("image_id % 3 = 1").select("subject_id", F.col("acq_date").alias("examdate"), F.col("stratum").alias("code"), F.col("image_id").alias("ord"))
-    return joins.nearest(left, right, "subject_id", "image_id", "acq_date", "examdate", "ord", 180, ["code"]).drop("acq_date")
+
 
 
 @query(_with("scans") + ", c as (select s.image_id, o.acq_date as examdate, abs(date_diff('day', s.acq_date, o.acq_date)) as gap, o.stratum as code, row_number() over (partition by s.image_id order by abs(date_diff('day', s.acq_date, o.acq_date)), o.acq_date, o.image_id) as r from scans s join scans o on o.subject_id = s.subject_id and o.image_id <> s.image_id) select s.image_id, s.subject_id, c.examdate as matched_day, c.gap::int as gap_days, c.code from scans s left join c on c.image_id = s.image_id and c.r = 1 and c.gap <= 180")
@@ -127,12 +121,10 @@ def cascade_lookup(spark, d):
     return out.select("image_id", F.coalesce("dx", F.lit("x")).alias("dx"), "dx_source")
 
 
-@query("select l_orderkey, l_linenumber, max_by(l_shipdate, l_shipdate::varchar || l_partkey::varchar || l_suppkey::varchar || l_extendedprice::varchar) is not null as has_row, count(*)::bigint as rows_seen from lineitem group by all")
+@query("select o_custkey as subject_id, o_orderpriority as visit, max_by(o_orderkey, (o_orderdate, o_orderkey)) as image_id, max_by(o_orderstatus, (o_orderdate, o_orderkey)) as label from orders group by all")
 def last_row_wins(spark, d):
-    li = table(spark, d, "lineitem")
-    order = F.concat(F.col("l_shipdate").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_extendedprice").cast("string"))
-    last = joins.latest_per_key(li.select("l_orderkey", "l_linenumber", "l_shipdate", order.alias("_o")), ["l_orderkey", "l_linenumber"], "_o")
-    return last.join(li.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("rows_seen")), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", F.col("l_shipdate").isNotNull().alias("has_row"), "rows_seen")
+    visits = table(spark, d, "orders").select(F.col("o_custkey").alias("subject_id"), F.col("o_orderpriority").alias("visit"), F.col("o_orderdate").alias("day"), F.col("o_orderkey").alias("image_id"), F.col("o_orderstatus").alias("label"))
+    return joins.latest_per_key(visits, ["subject_id", "visit"], "day").select("subject_id", "visit", "image_id", "label")
 
 
 @query("select subject_id, event_types, first_type from (select user_id as subject_id, count(distinct event_type)::bigint as event_types, min_by(event_type, event_id) as first_type from events group by 1)")
@@ -154,10 +146,10 @@ def contamination(spark, d):
     return out.withColumn("contamination_pct", F.round("contamination_pct", 9))
 
 
-@query("select r_regionkey, seg from region cross join (select distinct c_mktsegment as seg from customer) where not exists (select 1 from customer c join nation n on n.n_nationkey = c.c_nationkey where n.n_regionkey = r_regionkey and c.c_mktsegment = seg and c.c_acctbal > 9000)")
+@query("select r_regionkey, seg from region cross join (select distinct c_mktsegment as seg from customer) where not exists (select 1 from customer c join nation n on n.n_nationkey = c.c_nationkey where n.n_regionkey = r_regionkey and c.c_mktsegment = seg and c.c_acctbal > 9950)")
 def missing_grid_cells(spark, d):
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    found = c.where("c_acctbal > 9000").join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(F.col("n_regionkey").alias("r_regionkey"), F.col("c_mktsegment").alias("seg"))
+    found = c.where("c_acctbal > 9950").join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(F.col("n_regionkey").alias("r_regionkey"), F.col("c_mktsegment").alias("seg"))
     return joins.missing_cells(found, [table(spark, d, "region").select("r_regionkey"), c.select(F.col("c_mktsegment").alias("seg")).distinct()])
 
 
@@ -175,9 +167,10 @@ def exists_join(spark, d):
     return joins.exists_flag(table(spark, d, "customer").select("c_custkey"), o, ["c_custkey"], "has_scan")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 def anti_join(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(scans(spark, d).select(F.col("subject_id").alias("c_custkey")), "c_custkey", "left_anti")
+    urgent = scans(spark, d).where("stratum = '1-URGENT'").select(F.col("subject_id").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey").join(urgent, "c_custkey", "left_anti")
 
 
 @query("select o_orderkey as image_id from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
@@ -189,10 +182,48 @@ def semi_join(spark, d):
 _HASH = "with h as (select vec_id, list_reduce(list_prepend(0::bigint, list_transform(range(1, len(embedding)), lambda i: (embedding[i] > embedding[i + 1])::bigint)), lambda a, b: a * 2 + b) as h from embeddings) "
 
 
-@query(_HASH + "select a.vec_id as id_a, b.vec_id as id_b, bit_count(xor(a.h, b.h))::int as distance from h a join h b on a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) <= 12")
+#: Small images of parts: those of one kind differ in a few pixels.
+_PIXELS = "list_transform(range(272), lambda i: ((p_partkey % 40 + 1) * 31 + i * 17 + i * i * (p_partkey % 40)) % 97 + case when p_partkey % 3 = 0 and i = p_partkey % 271 then 200 when p_partkey % 7 = 0 and i = (p_partkey * 5) % 271 then -200 else 0 end)"
+_GRID_HASH = f"""with px as (select p_partkey as image_id, p_brand as label, p_type as subject_id, {_PIXELS} as v from part),
+h as (select image_id, label, subject_id, list_transform(range(256), lambda n: (v[(n // 16) * 17 + n % 16 + 1] > v[(n // 16) * 17 + n % 16 + 2])::int) as bits from px),
+c as (select bits, min(image_id) as id, count(*) as size from h group by 1),
+near as (select a.id as id_a, b.id as id_b, list_sum(list_transform(list_zip(a.bits, b.bits), lambda x: (x[1] <> x[2])::int))::int as distance, a.size::bigint as size_a, b.size::bigint as size_b from c a join c b on a.id < b.id),
+pairs as (select * from near where distance <= 4) """
+
+
+def hashed_images(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    base = lambda i: ((k % 40 + 1) * 31 + i * 17 + i * i * (k % 40)) % 97
+    spot = lambda i: F.when((k % 3 == 0) & (i == k % 271), 200).when((k % 7 == 0) & (i == (k * 5) % 271), -200).otherwise(0)
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(271)), lambda i: base(i) + spot(i))
+    return table(spark, d, "part").select(k.alias("image_id"), F.col("p_brand").alias("label"), F.col("p_type").alias("subject_id"), rules.grid_hash(pixels).alias("words"))
+
+
+@query(_GRID_HASH + "select * from pairs")
 def near_hash_pairs(spark, d):
-    h = table(spark, d, "embeddings").select("vec_id", rules.difference_hash(F.col("embedding")).alias("h"))
-    return joins.near_hashes(h, "vec_id", "h", 63, 12)
+    return joins.near_hashes(hashed_images(spark, d), "image_id", "words", 4)
+
+
+@query(_GRID_HASH + "select image_id as id, id as representative from h join c using (bits)")
+def near_hash_classes(spark, d):
+    return joins.hash_classes(hashed_images(spark, d), "image_id", "words")
+
+
+@query(_GRID_HASH + "select distance, sum(n)::bigint as pairs from (select distance, size_a * size_b as n from pairs union all select 0, size * (size - 1) // 2 from c where size > 1) group by 1")
+def near_hash_counts(spark, d):
+    rows = hashed_images(spark, d)
+    return joins.near_counts(joins.near_hashes(rows, "image_id", "words", 4), joins.hash_classes(rows, "image_id", "words"))
+
+
+@query(_GRID_HASH + "select * from pairs order by distance, id_a, id_b limit 50")
+def near_hash_report(spark, d):
+    return joins.capped(joins.near_hashes(hashed_images(spark, d), "image_id", "words", 4), 50)
+
+
+@query(_GRID_HASH + "select pairs.*, a.subject_id = b.subject_id as same_subject, a.label = b.label as same_class, 'review_only_not_split_blocking' as policy from pairs join h a on a.image_id = id_a join h b on b.image_id = id_b")
+def near_hash_flags(spark, d):
+    rows = hashed_images(spark, d)
+    return graph.near_flags(joins.near_hashes(rows, "image_id", "words", 4), rows, "image_id", "subject_id", "label")
 
 
 @query(_HASH + "select vec_id, h as dhash from h")
@@ -208,10 +239,7 @@ def count_with_missing(spark, d):
 
 @query("select 'text' as name, count(*) filter (where text is null or trim(text) = '')::bigint as missing from documents union all select 'lang', count(*) filter (where lang is null or trim(lang) = '') from documents union all select 'source', count(*) filter (where source is null or trim(source) = '') from documents")
 def missingness(spark, d):
-    t = table(spark, d, "documents")
-    names = ["text", "lang", "source"]
-    one = t.agg(*[F.count_if(rules.blank_to_null(F.col(n)).isNull()).alias(n) for n in names])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("missing")) for n in names])).alias("x")).select("x.*")
+    return audits.missingness(table(spark, d, "documents"), ["text", "lang", "source"])
 
 
 @query("select coalesce(l_returnflag, 'total') as suffix, count(*)::bigint as files, sum(l_quantity)::double as bytes from lineitem group by rollup(l_returnflag)")
@@ -235,8 +263,7 @@ def demographics(spark, d):
 
 @query(_with("scans") + ", n as (select subject_id, label, count(*) as n, min(image_id) as f from scans group by all) select subject_id, label as majority from (select *, row_number() over (partition by subject_id order by n desc, f) as r from n) where r = 1")
 def majority_label(spark, d):
-    n = scans(spark, d).groupBy("subject_id", "label").agg(F.count("*").alias("n"), F.min("image_id").alias("f"))
-    return n.groupBy("subject_id").agg(F.max_by("label", F.struct("n", -F.col("f"))).alias("majority"))
+    return audits.majority(scans(spark, d), "subject_id", "label", "image_id")
 
 
 @query("select content, count(*)::bigint as images, min(doc_id) as first_id from (select sha256(text) as content, doc_id from documents) group by 1 having count(*) > 1")
@@ -263,13 +290,12 @@ def subgroup_prevalence(spark, d):
 
 @query(_with("preds") + "select protocol, round(count(*) filter (where y_true = 0)::double / greatest(1, count(*) filter (where y_true = 1)), 9) as weight from preds group by 1")
 def class_weight(spark, d):
-    return predictions(spark, d).groupBy("protocol").agg(r9(F.count_if(F.col("y_true") == 0) / F.greatest(F.lit(1), F.count_if(F.col("y_true") == 1)), "weight"))
+    return audits.class_weight(predictions(spark, d), ["protocol"]).withColumn("weight", F.round("weight", 9))
 
 
 @query("select p_brand as class, count(*)::bigint as images, count(distinct p_type)::bigint as subjects, count(*) filter (where p_size > 40)::bigint as odd, round(count(*) filter (where p_size > 40) * 100.0::double / count(*), 6) as odd_pct from part group by 1")
 def class_profile(spark, d):
-    odd = F.count_if(F.col("p_size") > 40)
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("class")).agg(F.count("*").alias("images"), F.countDistinct("p_type").alias("subjects"), odd.alias("odd"), F.round(odd * 100.0 / F.count("*"), 6).alias("odd_pct"))
+    return audits.class_profile(table(spark, d, "part"), "p_brand", "p_type", F.col("p_size") > 40, {"Brand#13": 0}).withColumn("odd_pct", F.round("odd_pct", 6))
 
 
 # --- graph
@@ -317,12 +343,9 @@ def component_sizes(spark, d):
     return graph.size_histogram(_content_components(spark, d)[1])
 
 
-@query(_with("docrec", "hcomp") + "select component, format('adni_comp_{:05d}', dense_rank() over (order by component) - 1) as ordinal from (select distinct component from hcomp)")
+@query(_with("docrec", "hcomp") + "select component, format('component_{:05d}', dense_rank() over (order by component) - 1) as ordinal from (select distinct component from hcomp)")
 def component_ordinals(spark, d):
-    members = _content_components(spark, d)[1].select("component").distinct()
-    key = F.format_string("%020d", "component")
-    ranked = splits.positions(members, key)
-    return ranked.select("component", F.format_string("adni_comp_%05d", F.col("position") - 1).alias("ordinal"))
+    return graph.ordinal_ids(_content_components(spark, d)[1])
 
 
 @query(_RS + "select subject_id, count(distinct split)::bigint as splits, count(*)::bigint as rows from rsplit group by 1 having count(distinct split) > 1")
@@ -330,9 +353,10 @@ def orphan_components(spark, d):
     return graph.orphans(splits.random_split(scans(spark, d), "image_id", 7), "subject_id", "split")
 
 
-@query(_with("docrec", "sedges", "hedges") + "select reason, count(*)::bigint as edges from (select * from sedges union all select * from hedges) group by 1")
+@query(_with("docrec", "hedges", "hcomp") + "select 'nodes' as name, count(*)::bigint as n from hcomp union all select 'components', count(distinct component) from hcomp union all select 'edges', count(*) from hedges union all select 'edges same_content', count(*) from hedges")
 def graph_summary(spark, d):
-    return _edges(spark, d)[1].groupBy("reason").agg(F.count("*").alias("edges"))
+    _, members, edges = _content_components(spark, d)
+    return graph.summary(members, edges)
 
 
 # --- splits
@@ -357,6 +381,29 @@ def _components(spark, d):
     return per
 
 
+_SIZED = _with("scans") + """, per as (select subject_id, count(*) as size, max(stratum) as stratum from scans group by 1), n as (select stratum, sum(size) as n, count(*) as components from per group by 1),
+w as (select stratum, n, round_even(n * 0.15::double, 0) as val, n - round_even(n * 0.7::double, 0) - round_even(n * 0.15::double, 0) as test from n)"""
+
+
+@query(_SIZED.replace("with ", "with recursive ", 1) + """, sz as (select stratum, size, count(*) as c, row_number() over (partition by stratum order by size) as i from per group by 1, 2),
+lim as (select w.stratum, w.n, val, val + max(size) as most, max(i) as last from w join sz using (stratum) group by w.stratum, w.n, val),
+reach(stratum, i, s) as (select stratum, 0::bigint, 0::bigint from lim union select r.stratum, r.i + 1, r.s + j.j * z.size from reach r join lim l using (stratum) join sz z on z.stratum = r.stratum and z.i = r.i + 1 join range(0, 5000) j(j) on j.j <= z.c and r.s + j.j * z.size <= l.most),
+best as (select r.stratum, s, row_number() over (partition by r.stratum order by abs(s - val), s > val, s) as k from reach r join lim l on l.stratum = r.stratum and r.i = l.last)
+select l.stratum, l.n::bigint as n, l.val::bigint as target, s::bigint as achieved from lim l join best b on b.stratum = l.stratum and k = 1""")
+def component_split_optimum(spark, d):
+    """What the validation part gets of its target: the best sum of whole components that there is."""
+    got = splits.allocate_components(_components(spark, d), "stratum", "subject_id", "size", 7, exact=True)
+    sums = got.groupBy("stratum").agg(F.sum("size").alias("n"), F.coalesce(F.sum(F.when(F.col("split") == "val", F.col("size"))), F.lit(0)).alias("achieved"))
+    return sums.select("stratum", "n", splits.targets(F.col("n"))[1].alias("target"), "achieved")
+
+
+@query(_SIZED + "select subject_id, size::bigint as size, stratum, 1::bigint as splits from per")
+def component_split_whole(spark, d):
+    """Each component is allocated once, whole and in its stratum; greedily here."""
+    got = splits.allocate_components(_components(spark, d), "stratum", "subject_id", "size", 7, exact=False)
+    return got.groupBy("subject_id", "size", "stratum").agg(F.countDistinct("split").alias("splits"))
+
+
 @query()
 def component_split_exact(spark, d):
     return splits.allocate_components(_components(spark, d), "stratum", "subject_id", "size", 7, exact=True)
@@ -375,17 +422,46 @@ def achieved_vs_target(spark, d):
     return want.join(got.groupBy("stratum", "split").agg(F.sum("size").alias("achieved"), F.count("*").alias("components")), ["stratum", "split"], "left")
 
 
-_INJ = """, test as (select * from gs where split = 'test'), q as (select label, round_even(count(*) * 0.3::double, 0) as quota from test group by 1),
-tr as (select *, row_number() over (partition by subject_id order by acq_date, image_id) as k, count(*) over (partition by subject_id) as m from gs where split = 'train'),
-moved as (select t.image_id, t.label from (select *, row_number() over (partition by label order by sha1('5:' || subject_id)) as r from tr where m >= 2 and k = 1) t join q using (label) where r <= quota),
-gone as (select image_id from (select image_id, label, row_number() over (partition by label order by sha1('6:' || image_id)) as r from test) x join (select label, count(*) as c from moved group by 1) y using (label) where r <= c)
-select image_id, split, false as injected from gs where image_id not in (select image_id from moved) and image_id not in (select image_id from gone) union all select image_id, 'test', true from moved"""
+#: Subjects of one class each, split by subject; the injection written from its definition, share 0.3 and seed 5.
+_SUBJECT_SPLIT = """, s0 as (select subject_id, row_number() over (order by sha1('7:' || subject_id)) as pos, count(*) over () as n from (select distinct subject_id from scans)),
+cls as (select subject_id, min(label) as component_label from scans group by 1),
+gs as (select scans.*, component_label, case when pos <= floor(n * 0.7::double) then 'train' when pos <= floor(n * 0.7::double) + floor(n * 0.15::double) then 'val' else 'test' end as split from scans join s0 using (subject_id) join cls using (subject_id))"""
+_INJECTED = """, tests as (select * from gs where split = 'test' and component_label in ('F', 'O')),
+usable as (select *, row_number() over (partition by subject_id order by acq_date, image_id) as k, count(*) over (partition by subject_id) as m from gs where split = 'train' and component_label in ('F', 'O') and label = component_label),
+pool as (select * from usable where m >= 2),
+donor as (select subject_id, component_label, row_number() over (partition by component_label order by sha1('5:' || subject_id)) - 1 as rank, count(*) over (partition by component_label) as donors from pool where k = 1),
+nt as (select count(*) as n, count(*) filter (where component_label = 'F') as f from tests),
+want as (select n, f, least(round_even(SHARE::double * n, 0), (select count(*) from donor)) as w from nt),
+quota as (select 'F' as component_label, round_even(f::double / n * w, 0) as q from want union all select 'O', w - round_even(f::double / n * w, 0) from want),
+turns as (select pool.image_id, pool.component_label, (k - 1) * donors + rank as step, row_number() over (partition by pool.component_label order by k, rank) as turn from pool join donor using (subject_id)),
+moved as (select image_id from turns join quota using (component_label) where turn <= q and step < 10 * greatest(1, q)),
+gone as (select image_id from (select image_id, component_label, row_number() over (partition by component_label order by sha1('6:' || image_id)) as r from tests) join quota using (component_label) where r <= q),
+result as (select image_id, subject_id, component_label, case when image_id in (select image_id from moved) then 'test' else split end as split, image_id in (select image_id from moved) as injected from gs where image_id not in (select image_id from gone)) """
+
+
+def subject_split(spark, d) -> DataFrame:
+    rows = scans(spark, d)
+    classes = rows.groupBy("subject_id").agg(F.min("label").alias("component_label"))
+    return splits.group_split(rows, "subject_id", 7).join(classes, "subject_id")
+
 
+def _injected(rows: DataFrame, share: float) -> DataFrame:
+    return splits.inject_leakage(rows, share, 5, label="component_label", visit_label="label", classes=("F", "O"))
 
-@query(_with("scans") + ", s0 as (select subject_id, row_number() over (order by sha1('7:' || subject_id)) as pos, count(*) over () as n from (select distinct subject_id from scans)), gs as (select scans.*, case when pos <= floor(n * 0.7::double) then 'train' when pos <= floor(n * 0.7::double) + floor(n * 0.15::double) then 'val' else 'test' end as split from scans join s0 using (subject_id))" + _INJ)
+
+@query(_with("scans") + _SUBJECT_SPLIT + _INJECTED.replace("SHARE", "0.3") + "select image_id, split, injected from result")
 def leakage_injection(spark, d):
-    rows = splits.group_split(scans(spark, d), "subject_id", 7)
-    return splits.inject_leakage(rows, 0.3, 5).select("image_id", "split", "injected")
+    return _injected(subject_split(spark, d), 0.3).select("image_id", "split", "injected")
+
+
+@query(_with("scans") + _SUBJECT_SPLIT + _INJECTED.replace("SHARE", "0.75") + """select 0.75::double as target, round(count(*) filter (where injected)::double / count(*) filter (where mine), 9) as actual, count(*) filter (where mine)::bigint as n_test, count(*) filter (where injected)::bigint as n_overlap,
+count(distinct subject_id) filter (where injected)::bigint as n_donors_used, (select count(*) from tests where component_label = 'F')::bigint as before_F, (select count(*) from tests where component_label = 'O')::bigint as before_O,
+count(*) filter (where mine and component_label = 'F')::bigint as after_F, count(*) filter (where mine and component_label = 'O')::bigint as after_O, count(*) filter (where split = 'train')::bigint as n_train, count(*) filter (where split = 'val')::bigint as n_val
+from (select *, split = 'test' and component_label in ('F', 'O') as mine from result)""")
+def injection_audit(spark, d):
+    rows = subject_split(spark, d)
+    audit = splits.injection_audit(rows, _injected(rows, 0.75), 0.75, label="component_label", classes=("F", "O"))
+    return audit.withColumn("actual", F.round("actual", 9))
 
 
 @query(_with("scans") + ", r as (select image_id, subject_id, row_number() over (partition by subject_id order by sha1('3:' || image_id)) as r, count(*) over (partition by subject_id) as n from scans) select image_id, case when r <= greatest(1, floor(n * 0.8::double)) then 'fit' else 'probe' end as fold from r where n >= 2")
@@ -393,10 +469,13 @@ def within_group_split(spark, d):
     return splits.within_group_split(scans(spark, d), "subject_id", "image_id", 3).select("image_id", "fold")
 
 
-@query(_with("scans") + "select image_id from (select image_id, row_number() over (partition by label order by sha1('1:' || image_id)) as r from scans) where r <= 10")
+@query(_with("scans") + """, n as (select label, count(*) as n, row_number() over (order by label) - 1 as i from scans where label in ('F', 'O', 'P') group by 1),
+t0 as (select least(n, greatest(1, 100 // 3)) as take from n where label = 'F'), t1 as (select least(n, greatest(1, (100 - (select take from t0)) // 2)) as take from n where label = 'O'),
+t2 as (select least(n, greatest(1, 100 - (select take from t0) - (select take from t1))) as take from n where label = 'P'),
+r as (select image_id, label, row_number() over (partition by label order by sha1('1:' || image_id)) as r from scans)
+select image_id from r where r <= case label when 'F' then (select take from t0) when 'O' then (select take from t1) else (select take from t2) end""")
 def stratified_limit(spark, d):
-    s = scans(spark, d)
-    return s.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(splits.shuffled(1, F.col("image_id"))))).where("r <= 10").select("image_id")
+    return splits.stratified_limit(scans(spark, d), "label", "image_id", 100, 1, ("F", "O", "P")).select("image_id")
 
 
 @query("select s.seed::int as seed, o.overlap::int as overlap from range(0, 5) s(seed) cross join (values (0), (25), (50), (75), (100)) o(overlap) where not (s.seed = 1 and o.overlap = 50)")
@@ -438,9 +517,13 @@ def youden(spark, d):
     return metrics.youden(_points(spark, d), SP).select(*SP, "threshold", F.round("j", 9).alias("j"))
 
 
-@query(_with("preds") + "select seed, protocol, count(*) filter (where y_prob >= 0.5 and y_true = 1)::bigint as tp, count(*) filter (where y_prob >= 0.5 and y_true = 0)::bigint as fp, count(*) filter (where y_prob < 0.5 and y_true = 1)::bigint as fn, count(*) filter (where y_prob < 0.5 and y_true = 0)::bigint as tn, round(avg(((y_prob >= 0.5)::int = y_true)::int), 9) as accuracy, round(avg(pow(y_prob - y_true, 2)), 9) as brier from preds group by all")
+@query(_with("preds") + """, c as (select seed, protocol, count(*) filter (where y_prob >= 0.5 and y_true = 1)::bigint as tp, count(*) filter (where y_prob >= 0.5 and y_true = 0)::bigint as fp,
+count(*) filter (where y_prob < 0.5 and y_true = 1)::bigint as fn, count(*) filter (where y_prob < 0.5 and y_true = 0)::bigint as tn, avg((y_prob - y_true) ** 2) as brier from preds group by all),
+r as (select *, case when tp + fn > 0 then tp::double / (tp + fn) else 0 end as sens, case when tn + fp > 0 then tn::double / (tn + fp) else 0 end as spec from c)
+select seed, protocol, tp, fp, fn, tn, round((tp + tn)::double / (tp + fp + fn + tn), 9) as accuracy, round((sens + spec) / 2, 9) as balanced_accuracy, round(case when 2 * tp + fp + fn > 0 then 2.0::double * tp / (2 * tp + fp + fn) else 0 end, 9) as f1, round(sens, 9) as sensitivity, round(spec, 9) as specificity, round(brier, 9) as brier from r""")
 def confusion(spark, d):
-    return metrics.confusion(predictions(spark, d), SP).select(*SP, "tp", "fp", "fn", "tn", r9(F.col("accuracy"), "accuracy"), r9(F.col("brier"), "brier"))
+    found = metrics.confusion(predictions(spark, d), SP)
+    return found.withColumns({c: F.round(c, 9) for c in ("accuracy", "balanced_accuracy", "f1", "sensitivity", "specificity", "brier")})
 
 
 def _ece(closed: bool) -> str:
@@ -494,10 +577,20 @@ def inflation_gap(spark, d):
     return m.select("seed", r9(F.col("0") - F.col("1"), "gap"))
 
 
-@query(_PTS + ", s as (select seed, protocol, coalesce(max(sensitivity) filter (where specificity >= 0.9::double), 0) as sens from points group by all) select seed, protocol, prevalence::double as prevalence, round(prevalence * 1000 * sens, 6) as tp, round(prevalence * 1000 * (1 - sens), 6) as fn from s cross join (values (0.138::double), (0.589::double)) p(prevalence)")
+_COST = _PTS + """, s as (select seed, protocol, coalesce(max(sensitivity) filter (where specificity >= 0.9::double), 0) as sens from points group by all),
+k as (select seed, protocol, p.prevalence::double as prevalence, p.prevalence::double * 1000 * sens as tp, p.prevalence::double * 1000 * (1 - sens) as fn, (1000 - p.prevalence::double * 1000) * 0.9::double as tn, (1000 - p.prevalence::double * 1000) * (1 - 0.9::double) as fp from s cross join (values (0.138), (0.589)) p(prevalence)) """
+
+
+@query(_COST + "select seed, protocol, prevalence, round(tp, 6) as tp, round(fn, 6) as fn, round(tn, 6) as tn, round(fp, 6) as fp from k")
 def cost_per_thousand(spark, d):
     s = metrics.sensitivity_at(_points(spark, d), SP)
-    return metrics.per_thousand(s, [0.138, 0.589]).select(*SP, "prevalence", F.round("tp", 6).alias("tp"), F.round("fn", 6).alias("fn"))
+    return metrics.per_thousand(s, [0.138, 0.589]).select(*SP, "prevalence", *[F.round(c, 6).alias(c) for c in ("tp", "fn", "tn", "fp")])
+
+
+@query(_COST + ", m as (select prevalence, avg(fn) filter (where protocol = 0) as honest, avg(fn) filter (where protocol = 1) as leaky from k group by 1) select prevalence, round(honest, 6) as honest, round(leaky, 6) as leaky, round(honest - leaky, 6) as hidden, round(case when leaky > 0 then honest / leaky end, 6) as ratio from m")
+def cost_of_leakage(spark, d):
+    costs = metrics.per_thousand(metrics.sensitivity_at(_points(spark, d), SP), [0.138, 0.589])
+    return audits.cost_of_leakage(costs, "0", "1", ["prevalence"]).select("prevalence", *[F.round(c, 6).alias(c) for c in ("honest", "leaky", "hidden", "ratio")])
 
 
 @query()
@@ -529,9 +622,9 @@ def set_intersect(spark, d):
     return scans(spark, d).select(F.col("subject_id").alias("k")).intersect(table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey"))
 
 
-@query("select c_custkey as k from customer except select o_custkey from orders")
+@query("select c_custkey as k from customer except select o_custkey from orders where o_orderstatus = 'P'")
 def set_except(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(scans(spark, d).select("subject_id"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(scans(spark, d).where("label = 'P'").select("subject_id"))
 
 
 @query("select n_name as k from nation union select r_name from region")

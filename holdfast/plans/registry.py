@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from holdfast.plans import manifest  # noqa: F401  it registers its queries
 from holdfast.plans.queries import ORACLE, QUERIES
 
 FLAGSHIP = "asof_nearest_all"

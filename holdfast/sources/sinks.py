@@ -16,14 +16,11 @@ def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "error")
 
 
 def append_new(df: DataFrame, path: str, key: str) -> None:
-    """Append rows whose key the table does not have yet."""
+    """Append rows whose key the table does not have yet; null keys are always new, repeated new keys go in as they stand."""
     spark = df.sparkSession
-    try:
-        have = spark.read.schema(df.schema).parquet(path).select(key)
-        df = df.join(have, key, "left_anti")
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        df = df.join(spark.read.schema(df.schema).parquet(path).select(key), key, "left_anti").select(*df.columns)
     df.write.mode("append").parquet(path)
 
 
@@ -39,12 +36,26 @@ def to_json(df: DataFrame) -> str:
 
 
 def to_markdown(df: DataFrame) -> str:
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join([*lines, *("| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in _small(df))])
+    """A table; bars and line ends inside cells are escaped, nulls are empty."""
+    cell = lambda x: "" if x is None else str(x).replace("\\", "\\\\").replace("|", "\\|").replace("\n", " ")
+    lines = ["| " + " | ".join(map(cell, df.columns)) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
+    return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in _small(df))])
+
+
+def audit_report(title: str, tables: dict[str, DataFrame], gates: DataFrame) -> str:
+    """Markdown: every table under its name, then the decision: which gates (gate, passed) fail, or that all pass."""
+    failed = [r.gate for r in _small(gates) if not r.passed]
+    parts = [f"# {title}", *(f"## {name}\n\n{to_markdown(df)}" for name, df in tables.items())]
+    parts.append("## Decision\n\n" + (f"FAIL: {', '.join(sorted(failed))}" if failed else "PASS: all gates hold"))
+    return "\n\n".join(parts) + "\n"
+
+
+_LATEX = str.maketrans({"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "\n": " "})
 
 
 def to_latex(df: DataFrame) -> str:
-    safe = lambda x: "" if x is None else str(x).replace("\\", r"\textbackslash{}").replace("_", r"\_").replace("%", r"\%").replace("&", r"\&")
+    """A tabular; all signs with a meaning in LaTeX are escaped, nulls are empty."""
+    safe = lambda x: "" if x is None else str(x).translate(_LATEX)
     body = [" & ".join(map(safe, r)) + r" \\" for r in [df.columns, *_small(df)]]
     return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", *body, r"\end{tabular}"])
 
