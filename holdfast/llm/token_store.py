@@ -6,8 +6,8 @@ Layout under one folder, written by Spark's committers alone:
                              ``id_bytes`` bytes, named by the SHA-256 (16 bytes)
                              of the uncompressed ids
     recipes/   doc_id, start, n_tokens, lengths, digests, root
-               in ascending doc_id order, in files by range of doc_id; ``start``
-               counts the ids of all documents before
+               ``part`` is a range of ascending doc_id, and each part's rows stand
+               in that order; ``start`` counts the ids of all documents before
     manifest/  part, n_docs, n_tokens, root: a Merkle root for each recipe file
 
 A rolling hash over the last ``WINDOW`` ids cuts a document's id stream, so equal
@@ -44,7 +44,7 @@ from holdfast.scratch import drop, new_path, written
 WINDOW, SHORTEST, MEAN, LONGEST = 16, 64, 512, 4096
 DIGEST_BYTES = 16
 #: Encoded words that a Python worker keeps from task to task, about 200 bytes each.
-ENCODED_WORDS = 500_000
+ENCODED_WORDS = 1_200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,7 +114,7 @@ class Encoder:
     texts are encoded.
     """
 
-    def __init__(self, path: str, split_words: bool):
+    def __init__(self, path: str, split_words: bool, encoded_words: int = ENCODED_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -124,7 +124,7 @@ class Encoder:
         # Whether the model alone gives what the whole tokenizer gives for a word of letters.
         probe = ["a", "the", "zebra", "größe", "élèveñ", "çüøþÿ", "internationalisation", "xqzjvk"]
         self.direct = split_words and all(self.by_model(w) == self.whole(w) for w in probe)
-        self.cache = Cache(self.word, ENCODED_WORDS)
+        self.cache = Cache(self.word, encoded_words)
 
     def by_model(self, word: str) -> bytes:
         """A word of lower-case Latin letters is normal already and one piece, so the library's model is asked at once."""
@@ -151,20 +151,22 @@ def id_dtype(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def _encoder(path: str, split_words: bool) -> Encoder:
-    if (path, split_words) not in _encoders:
-        _encoders[path, split_words] = Encoder(path, split_words)
-    return _encoders[path, split_words]
+def _encoder(path: str, split_words: bool, encoded_words: int) -> Encoder:
+    key = (path, split_words, encoded_words)
+    if key not in _encoders:
+        _encoders.clear()  # a worker keeps one
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
-def _staged(path: str, split_words: bool, end_id: int):
+def _staged(path: str, split_words: bool, end_id: int, encoded_words: int):
     """Documents to recipes, each with those chunks that this task has not yet given out."""
 
     def run(batches):
-        encode, squeeze = _encoder(path, split_words), zstandard.ZstdCompressor(level=1)
+        encode, squeeze = _encoder(path, split_words, encoded_words), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], encode.dtype).tobytes()
         given: set[bytes] = set()
         for batch in text_slices(batches):
@@ -199,11 +201,11 @@ def _staged(path: str, split_words: bool, end_id: int):
     return run
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, split_words: bool = False) -> str:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, split_words: bool = False, encoded_words: int = ENCODED_WORDS) -> str:
     """Encode ``docs`` and write the store at ``path``, a folder that all executors reach."""
     spark = docs.sparkSession
     docs = doc_columns(docs)
-    stage = written(docs.mapInArrow(_staged(tokenizer, split_words, end_id), "doc_id long, n_tokens long, lengths array<int>, digests binary, new array<struct<digest:binary,ids:binary>>"), "store-stage")
+    stage = written(docs.mapInArrow(_staged(tokenizer, split_words, end_id, encoded_words), "doc_id long, n_tokens long, lengths array<int>, digests binary, new array<struct<digest:binary,ids:binary>>"), "store-stage")
     stage.select(F.explode("new").alias("c")).select("c.digest", "c.ids").groupBy("digest").agg(F.first("ids").alias("ids")).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
 
     # Ascending order: ranges of doc_id; a running sum inside each range, plus the sums of the ranges before.
@@ -227,7 +229,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, spl
     schema = "part int, doc_id long, start long, n_tokens long, lengths array<int>, digests binary, root binary"
     recipes.mapInArrow(rooted, schema).write.option("compression", "zstd").parquet(f"{path}/recipes")
     drop(ranged)
-    dtype = id_dtype(_encoder(tokenizer, split_words).tokenizer.get_vocab_size())
+    dtype = id_dtype(_encoder(tokenizer, split_words, encoded_words).tokenizer.get_vocab_size())
     _part_roots(read_recipes(spark, path)).withColumn("id_bytes", F.lit(int(dtype[-1]))).write.parquet(f"{path}/manifest")
     return path
 
@@ -327,7 +329,7 @@ def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
     return told.join(found, "part", "full").where(~(F.col("n_docs").eqNullSafe(F.col("docs_found")) & F.col("n_tokens").eqNullSafe(F.col("tokens_found")) & F.col("root").eqNullSafe(F.col("root_found"))))
 
 
-def token_store(docs: DataFrame, tokenizer: str, end_id: int = 1, split_words: bool = False, path: str | None = None) -> DataFrame:
+def token_store(docs: DataFrame, tokenizer: str, end_id: int = 1, split_words: bool = False, path: str | None = None, encoded_words: int = ENCODED_WORDS) -> DataFrame:
     """Write the store and give what reading it back gives, one row per document."""
     spark = docs.sparkSession
-    return read_digests(spark, write_store(docs, path or new_path(spark, "token-store"), tokenizer, end_id, split_words))
+    return read_digests(spark, write_store(docs, path or new_path(spark, "token-store"), tokenizer, end_id, split_words, encoded_words))
