@@ -13,7 +13,8 @@ symbol, the smallest name among equals; equal windows have equal keys.
 Round 1 shuffles each document's keys (one for about four words), and finds
 those in more than one document. Round 2 shuffles the 96-bit hashes of the
 windows that have such keys, and finds for each the smallest document. What a
-window's hash says is exact but for hash collisions at about 2^-96. Documents
+window's hash says is exact but for collisions of 96 bits; the last step looks up 64 of
+them in a document's own list of repeated windows. Documents
 with the word sequence of a smaller one, all of whose windows repeat, take no part
 in round 2.
 
@@ -44,7 +45,7 @@ ROUNDS, LEAST_ROUND = 5, 2
 #: Words of text whose entries share a bucket, about.
 BUCKET_WORDS = 2_000_000
 #: Ids that a map-side filter holds at most; beyond that it is a join.
-IDS_IN_MEMORY = 2_000_000
+IDS_IN_MEMORY = 500_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
