@@ -21,29 +21,31 @@ from holdfast.scratch import drop, written
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) for every node of an edge; ``edges`` has columns ``src`` and ``dst``.
 
-    The component is the smallest node in it. The rounds end when one leaves the
-    edges as they are, by their number and two checksums of 64 bits.
+    The component is the smallest node in it. The rounds end once all edges form
+    stars, which may be so before the first.
     """
-    pairs = edges.where("src is not null and dst is not null").select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).distinct()
-    now = written(pairs, "cc")
-    mark = _mark(now)
-    for _ in range(max_rounds if mark[0] else 0):
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"))
+    now = written(pairs.distinct(), "cc")
+    for _ in range(max_rounds):
+        if _settled(now):
+            break
         new = written(_star(_star(now, above=True), above=False).distinct(), "cc")
         drop(now)
-        now, before, mark = new, mark, _mark(new)
-        # Stars are stable when each node has one edge, to a node that has none upward.
-        if mark == before:
-            break
+        now = new
     else:
-        if mark[0]:
+        if not _settled(now):
             raise RuntimeError("components did not settle")
     roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("component"))
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Number and checksums of distinct edges, in one pass without a shuffle of rows."""
-    return tuple(edges.agg(F.count("*"), *(F.bit_xor(F.xxhash64(F.lit(seed), "lo", "hi")) for seed in (1, 2))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether distinct edges are stars: each node has one edge to a smaller node and none to greater ones, or none to smaller ones.
+
+    One aggregate by node, summed before its shuffle; no more than a row reaches the driver.
+    """
+    ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("lo").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").isEmpty()
 
 
 def _star(edges: DataFrame, above: bool) -> DataFrame:

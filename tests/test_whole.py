@@ -1,11 +1,13 @@
 """Queries that must cover whole tables, and metrics against brute force."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
 
 from holdfast.operators import metrics
+from holdfast.operators.components import connected_components
 from holdfast.plans.registry import FLAGSHIP, QUERIES
 
 
@@ -69,3 +71,17 @@ def test_registered_resamples_are_whole(spark, sf):
     got = QUERIES["hierarchical_bootstrap"](spark, sf).groupBy("protocol").count().collect()
     assert {r.protocol: r["count"] for r in got} == {0: 10_000, 1: 10_000, 2: 10_000}
     assert {r.protocol for r in QUERIES["mean_roc"](spark, sf).select("protocol").distinct().collect()} == {0, 1, 2}
+
+
+def test_components_against_union_find(spark):
+    """Tables that are stars at once, chains, loops, nulls and repeated edges."""
+    chosen = random.Random(5)
+    tables = [[], [(1, 1)], [(1, 1), (1, 2)], [(1, None), (None, None), (3, 2), (2, 3)], [(1, 3), (2, 3)], [(i, i + 1) for i in range(40)], [(99, i) for i in range(50)]]
+    tables.append([(chosen.randrange(60), chosen.randrange(60)) for _ in range(40)])
+    for edges in tables:
+        least = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+        for _ in edges:
+            for a, b in (e for e in edges if None not in e and e[0] != e[1]):
+                least[a] = least[b] = min(least[a], least[b])
+        found = connected_components(spark.createDataFrame(edges, "src long, dst long"))
+        assert sorted(map(tuple, found.collect())) == sorted(least.items())
