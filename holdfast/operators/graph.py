@@ -44,9 +44,9 @@ def content_ids(members: DataFrame, id_col: str) -> DataFrame:
 
 
 def ordinal_ids(members: DataFrame, prefix: str = "component_") -> DataFrame:
-    """(component, ordinal): components numbered from 0 in the order of their names, which are whole numbers."""
+    """(component, ordinal): components numbered from 0 in the order of their names, which are whole numbers; five digits at least, more from 100,000 on."""
     ranked = ordinal_positions(members.select("component").distinct(), "component")
-    return ranked.select("component", F.concat(F.lit(prefix), F.lpad((F.col("position") - 1).cast("string"), 5, "0")).alias("ordinal"))
+    return ranked.select("component", F.concat(F.lit(prefix), F.format_string("%05d", F.col("position") - 1)).alias("ordinal"))
 
 
 def key_components(rows: DataFrame, id_col: str, key: str) -> DataFrame:

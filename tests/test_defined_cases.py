@@ -94,6 +94,14 @@ def test_groups_keep_rows_without_a_key(spark):
     assert splits.ordinal_positions(numbers.where("false"), "n").count() == 0
 
 
+def test_ordinals_beyond_five_digits(spark):
+    members = spark.range(100_002).select((F.col("id") * 3).alias("component"))
+    got = graph.ordinal_ids(members.unionByName(members), prefix="100%_")
+    assert got.count() == 100_002 and got.select("ordinal").distinct().count() == 100_002
+    few = got.where(F.col("component").isin(0, 299_997, 300_000, 300_003))
+    assert {r.component: r.ordinal for r in few.collect()} == {0: "100%_00000", 299_997: "100%_99999", 300_000: "100%_100000", 300_003: "100%_100001"}
+
+
 def _manifest(spark, donors, scans, test):
     rows = [(f"d{s}_{k}", f"d{s}", f"2020-01-{k + 1:02d}", "CN" if s % 2 else "AD", "train") for s in range(donors) for k in range(scans)]
     rows += [(f"t{i}", f"t{i}", "2020-02-01", "CN" if i % 2 else "AD", "test") for i in range(test)]

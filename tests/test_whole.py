@@ -3,12 +3,14 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from holdfast.operators import metrics
 from holdfast.operators.components import connected_components
-from holdfast.plans.registry import FLAGSHIP, QUERIES
+from holdfast.plans.registry import FLAGSHIP, ORACLE, QUERIES
 
 
 def test_flagship_covers_every_scan(spark, sf):
@@ -85,3 +87,15 @@ def test_components_against_union_find(spark):
                 least[a] = least[b] = min(least[a], least[b])
         found = connected_components(spark.createDataFrame(edges, "src long, dst long"))
         assert sorted(map(tuple, found.collect())) == sorted(least.items())
+
+
+def test_ordinals_of_many_components_against_sql(spark, tmp_path):
+    """More than 100,000 components, every eleventh with a copy."""
+    n = 100_100
+    docs = spark.range(n + n // 11).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n, F.col("id")).otherwise((F.col("id") - n) * 11).cast("string").alias("text"), F.lit("web").alias("source"), F.lit("en").alias("lang"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"select component, ordinal from ({ORACLE['component_ordinals']})").fetchall()
+    got = QUERIES["component_ordinals"](spark, str(tmp_path)).select("component", "ordinal").collect()
+    assert len(want) == n and sorted(map(tuple, got)) == sorted(want)
