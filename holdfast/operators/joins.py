@@ -150,7 +150,16 @@ def hash_classes(rows: DataFrame, id_col: str, words: str) -> DataFrame:
     """(id, representative): records of equal hashes are one class, named by its least id. Null hashes are in none."""
     full = rows.where(F.col(words).isNotNull()).select(F.col(id_col).alias("id"), F.col(words).alias("_h"))
     least = full.groupBy("_h").agg(F.min("id").alias("representative"))
-    return full.join(least, "_h").select("id", "representative")
+    # Sizes are estimated from the rows' files, which hold no hashes: without the hint all records may be broadcast.
+    return full.join(least.hint("merge"), "_h").select("id", "representative")
+
+
+def hash_sizes(rows: DataFrame, id_col: str, words: str) -> DataFrame:
+    """(h, id, size): classes of equal hashes with their least id, one row each. Null hashes are in none.
+
+    Null hashes go by their count: a filter by hash would move below the grouping and make each hash once more.
+    """
+    return rows.groupBy(F.col(words).alias("h")).agg(F.min(id_col).alias("id"), F.count(words).alias("size")).where("size > 0")
 
 
 def near_hashes(rows: DataFrame, id_col: str, words: str, limit: int = 4) -> DataFrame:
@@ -159,20 +168,27 @@ def near_hashes(rows: DataFrame, id_col: str, words: str, limit: int = 4) -> Dat
     Hashes are arrays of words of 32 bits, more of them than ``limit``: by the pigeonhole principle a pair agrees in a
     word, so pairs meet in an equi-join on (place, word), never in all pairs. hash_classes() gives the members.
     """
-    classes = rows.where(F.col(words).isNotNull()).groupBy(F.col(words).alias("h")).agg(F.min(id_col).alias("id"), F.count("*").alias("size"))
-    banded = classes.select("id", "h", "size", F.posexplode("h").alias("place", "word"))
+    banded = hash_sizes(rows, id_col, words).select("id", "h", "size", F.posexplode_outer("h").alias("place", "word"))  # outer: without a filter by hash
     a, b = (banded.select("place", "word", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "h", "size")]) for x in "ab")
     distance = hamming_words(F.col("h_a"), F.col("h_b"))
     # A pair that agrees in several words counts where the first of them meets.
     first = F.array_position(F.zip_with("h_a", "h_b", lambda x, y: x == y), True) - 1
-    near = a.join(b, ["place", "word"]).where((F.col("id_a") < F.col("id_b")) & (distance <= limit) & (first == F.col("place")))
+    # Merged, as in hash_classes(): neither side goes through the driver.
+    near = a.join(b.hint("merge"), ["place", "word"]).where((F.col("id_a") < F.col("id_b")) & (first == F.col("place")) & (distance <= limit))
     return near.select("id_a", "id_b", distance.cast("int").alias("distance"), "size_a", "size_b")
 
 
 def near_counts(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Record pairs by distance, uncapped: those between classes, and at distance 0 those inside each; sorted by distance."""
+    """Record pairs by distance, uncapped: those between classes, and at distance 0 those inside each; sorted by distance.
+
+    ``classes`` are those of hash_sizes(), a row each, or of hash_classes(), a row for each member.
+    """
     between = pairs.select("distance", (F.col("size_a") * F.col("size_b")).alias("n"))
-    inside = classes.groupBy("representative").agg(F.count("*").alias("c")).where("c > 1").select(F.lit(0).alias("distance"), F.expr("c * (c - 1) div 2").alias("n"))
+    if "size" in classes.columns:  # grouped by the id as well, so that it is not pruned: near_hashes() reads the same exchange
+        sized = classes.groupBy("h", "id").agg(F.sum("size").alias("c"))
+    else:
+        sized = classes.groupBy("representative").agg(F.count("*").alias("c"))
+    inside = sized.where("c > 1").select(F.lit(0).alias("distance"), F.expr("c * (c - 1) div 2").alias("n"))
     return between.unionByName(inside).groupBy("distance").agg(F.sum("n").alias("pairs")).orderBy("distance")
 
 

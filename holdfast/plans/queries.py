@@ -212,7 +212,7 @@ def near_hash_classes(spark, d):
 @query(_GRID_HASH + "select distance, sum(n)::bigint as pairs from (select distance, size_a * size_b as n from pairs union all select 0, size * (size - 1) // 2 from c where size > 1) group by 1")
 def near_hash_counts(spark, d):
     rows = hashed_images(spark, d)
-    return joins.near_counts(joins.near_hashes(rows, "image_id", "words", 4), joins.hash_classes(rows, "image_id", "words"))
+    return joins.near_counts(joins.near_hashes(rows, "image_id", "words", 4), joins.hash_sizes(rows, "image_id", "words"))
 
 
 @query(_GRID_HASH + "select * from pairs order by distance, id_a, id_b limit 50")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from holdfast.operators import metrics
+from holdfast.operators import joins, metrics
 from holdfast.operators.components import connected_components
 from holdfast.plans.registry import FLAGSHIP, ORACLE, QUERIES
 
@@ -99,3 +99,33 @@ def test_ordinals_of_many_components_against_sql(spark, tmp_path):
     want = con.execute(f"select component, ordinal from ({ORACLE['component_ordinals']})").fetchall()
     got = QUERIES["component_ordinals"](spark, str(tmp_path)).select("component", "ordinal").collect()
     assert len(want) == n and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_near_hash_counts_keep_records_from_the_driver(spark, sf):
+    """No side of a join is broadcast, and every image is read and hashed once."""
+    got = QUERIES["near_hash_counts"](spark, sf)
+    assert got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Broadcast" not in plan and plan.count("FileScan") == 1 and "isnotnull(words" not in plan
+    members = QUERIES["near_hash_classes"](spark, sf)
+    assert "Broadcast" not in members._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_counts_against_all_pairs(spark):
+    chosen = random.Random(6)
+    bases = [[chosen.randrange(1 << 32) for _ in range(5)] for _ in range(3)]
+    rows = [(i, [w ^ (1 << chosen.randrange(3) if chosen.random() < 0.4 else 0) for w in chosen.choice(bases)]) for i in range(150)] + [(200, None), (201, None)]
+    hashes = [w for _, w in rows if w]
+    want = {}
+    for i, a in enumerate(hashes):
+        for b in hashes[:i]:
+            distance = sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True))
+            if distance <= 4:
+                want[distance] = want.get(distance, 0) + 1
+    assert set(want) == {0, 1, 2, 3, 4}
+    table = spark.createDataFrame(rows, "id int, w array<bigint>")
+    pairs = joins.near_hashes(table, "id", "w")
+    for classes in (joins.hash_sizes(table, "id", "w"), joins.hash_classes(table, "id", "w")):
+        assert [tuple(r) for r in joins.near_counts(pairs, classes).collect()] == sorted(want.items())
+    nameless = spark.createDataFrame([(None, bases[0]), (None, bases[0]), (None, bases[1]), (None, bases[1])], table.schema)
+    assert [tuple(r) for r in joins.near_counts(joins.near_hashes(nameless, "id", "w"), joins.hash_sizes(nameless, "id", "w")).collect()] == [(0, 2)]
